@@ -80,3 +80,27 @@ def bucket_count(n_items: int, per_bucket: int) -> int:
     while n * per_bucket < n_items:
         n *= 2
     return n
+
+
+def with_key(ws: Workspace, docs: DataFrame, columns: tuple[str, ...] = ("text",)) -> DataFrame:
+    """``key, doc_id`` and ``columns`` of documents, text null read as empty.
+
+    Keys are longs in the order of doc_id, null last, then of a hash of the text; rows that
+    repeat both share a key.  Where ids are unique and non-null the key is the id itself;
+    else keys are ranks of a range sort.
+    """
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[text_of(c).alias(c) if c == "text" else F.col(c) for c in columns])
+    clash = base.groupBy("doc_id").count().where("count > 1 or doc_id is null")
+    if clash.isEmpty():
+        return base.select(F.col("doc_id").alias("key"), "doc_id", *columns)
+    hashed = base.withColumn("_h", F.xxhash64("text"))
+    ranks = hashed.select("doc_id", "_h").distinct().orderBy(F.col("doc_id").asc_nulls_last(), "_h")
+    ranks = ws.save(ranks.withColumn("key", F.monotonically_increasing_id()), "keys").alias("r")
+    h = hashed.alias("h")
+    joined = h.join(ranks, F.col("h.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("h._h") == F.col("r._h")))
+    return joined.select("r.key", "h.doc_id", *[f"h.{c}" for c in columns])
+
+
+def few_rows(df: DataFrame, bound: int) -> bool:
+    """Whether ``df`` has at most ``bound`` rows; counts no further."""
+    return df.limit(bound + 1).count() <= bound
