@@ -12,7 +12,8 @@ have a symmetric difference of at most d = (1 - t) / (1 + t) * (|A| + |B|) eleme
   Hamming distance is a lower bound of the symmetric difference, also after folding.
 * Work.  A group of documents with a common word is not expanded into pairs.  Each is tried
   against the group's least member; what that links is joined into components, and only
-  members of a group that are then in different components are compared, by sketch.
+  members of a group that are then in different components are compared, by sketch: the
+  nearest first, round by round, as they join most of the components, then all the rest.
 * Verification counts the common elements of the whole sets of a pair.
 """
 
@@ -37,7 +38,9 @@ FILL = 5.95
 #: Words of sketches in a bucket, and members of a group that are compared at once.
 BUCKET_WORDS, BLOCK = 1_000_000, 1024
 #: Signed words a task holds before it hands them on.
-FLUSH = 1_500_000
+FLUSH = 600_000
+#: Pairs of a member that are tried first among those that are left.
+NEAREST = 2
 #: Up to so many documents to read again are told to all tasks; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -246,8 +249,22 @@ def _verify(num: int, den: int):
     return run
 
 
-def _residual(num: int, den: int):
-    """Near pairs of different components within runs of rows of one group and block pair."""
+def _nearest(p: np.ndarray, q: np.ndarray, away: np.ndarray, n: int) -> np.ndarray:
+    """Which pairs are among the ``n`` nearest of either end."""
+    pick = np.zeros(len(p), bool)
+    for end in (p, q):
+        order = np.lexsort((p + q, away, end))
+        first = np.append(True, end[order][1:] != end[order][:-1])
+        nth = np.arange(len(p)) - np.maximum.accumulate(np.where(first, np.arange(len(p)), 0))
+        pick[order[nth < n]] = True
+    return pick
+
+
+def _residual(num: int, den: int, nearest: int | None):
+    """Near pairs of different components within runs of rows of one group and block pair.
+
+    With ``nearest`` only that many of each member; without, all.
+    """
 
     def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
         out = []
@@ -281,6 +298,9 @@ def _residual(num: int, den: int):
                         away = np.bitwise_count(x[s + a] ^ y[b]).sum(axis=1, dtype=np.int64)
                         good = away <= _allowed(n[i[a]], n[other[b]], num, den)
                         p, q = node[i[a[good]]], node[other[b[good]]]
+                        if nearest and len(p):
+                            pick = _nearest(p, q, away[good], nearest)
+                            p, q = p[pick], q[pick]
                         out.extend(zip(np.minimum(p, q).tolist(), np.maximum(p, q).tolist(), strict=True))
         return out
 
@@ -343,11 +363,11 @@ class _Join:
         self.ws.drop(f"near_{label}", f"wanted_{label}", f"sets_{label}")
         return linked
 
-    def residual(self, roots: DataFrame, tried: DataFrame) -> DataFrame:
+    def residual(self, roots: DataFrame, tried: DataFrame, label: str, nearest: int | None) -> DataFrame:
         """Pairs left to try: near by sketch, in one group, in different components."""
         groups = self.matched.where("grp is not null").select("grp", "members").dropDuplicates(["grp"])
         rows = groups.select("grp", F.size("members").alias("size"), F.explode("members").alias("node"))
-        rows = self.ws.save(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "grouped")
+        rows = self.ws.save(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), f"grouped_{label}")
         mixed = rows.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("grp")
         rows = rows.join(mixed, "grp", "left_semi").join(self.nodes.select("node", "n", "sketch"), "node")
         n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -355,8 +375,8 @@ class _Join:
         rows = rows.withColumn("to", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
         rows = rows.select("grp", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"), "node", "root", "n", "sketch", "block")
         rows = rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "node")
-        found = rows.mapInArrow(_residual(self.num, self.den), "a long, b long").distinct()
-        return self.ws.save(found.join(tried, ["a", "b"], "left_anti"), "residual")
+        found = rows.mapInArrow(_residual(self.num, self.den, nearest), "a long, b long").distinct()
+        return self.ws.save(found.join(tried, ["a", "b"], "left_anti"), f"residual_{label}")
 
 
 def ngram_join(docs: DataFrame, *, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -373,11 +393,23 @@ def ngram_join(docs: DataFrame, *, words: int = WORDS, num: int = NUM, den: int
     ws = join.ws
     join.sign()
     tried = ws.save(join.matched.where("grp is null").select("a", "b").distinct(), "tried")
-    linked = join.links(tried, "first")
-    roots = connected_components(ws, linked, "cc1")
-    more = join.residual(roots, tried)
-    if not more.isEmpty():
-        roots = connected_components(ws, linked.unionByName(join.links(more, "second")), "cc2")
+    linked = join.links(tried, "0")
+    roots = connected_components(ws, linked, "cc0")
+    # the nearest untried pairs join most of what is apart; once they link nothing new, all others are tried
+    turn, nearest = 0, NEAREST
+    while True:
+        turn += 1
+        more = join.residual(roots, tried, str(turn), nearest)
+        new = join.links(more, str(turn)) if not more.isEmpty() else more
+        if new.isEmpty():
+            if nearest is None:
+                break
+            nearest = None
+            continue
+        tried, linked = tried.unionByName(more), linked.unionByName(new)
+        roots = connected_components(ws, linked, f"cc{turn}")
+        if nearest is None:
+            break
     labelled = join.nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = labelled.groupBy("root").agg(F.min("rep").alias("component"))
     component = ws.save(labelled.join(smallest, "root").select("node", "component"), "components")
