@@ -35,11 +35,11 @@ from .common import Workspace, bucket_count, few_rows, table, with_key
 
 #: Bytes of the strings that must not repeat, and of their anchors.
 LENGTH, ANCHOR = 100, 32
-#: Bytes of text that are scanned at once; positions take its 20 bits.
-CHUNK_BITS = 20
+#: Bytes of text that are scanned at once; positions take its 18 bits.
+CHUNK_BITS = 18
 CHUNK = 1 << CHUNK_BITS
 #: Anchor records a task holds before it hands them on; records in a bucket; contexts in a sorted bucket.
-FLUSH, BUCKET, SORTED = 1_200_000, 500_000, 20_000
+FLUSH, BUCKET, SORTED = 300_000, 250_000, 10_000
 #: Contexts of one anchor, in a task's flush and in a bucket, beyond which strings are dealt by their own hash.
 LOCAL_HOT, HOT = 256, 20_000
 #: Documents that are told to all tasks at most; more are joined by a shuffle.
