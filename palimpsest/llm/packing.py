@@ -12,6 +12,7 @@ windows whose lengths are powers of two.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,38 +28,75 @@ TIERS = (1024, 512, 256, 128)
 #: Sequences that make a training step's group.
 GROUP = 16
 #: Distinct words whose ids a worker remembers, and documents in a block of the packer.
-CACHE_WORDS, BLOCK_DOCS = 400_000, 4096
+CACHE_WORDS, BLOCK_DOCS = 300_000, 4096
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 _ARROW = pa.schema([("doc_id", pa.int64())] + [(n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")] + [("tier", pa.int32()), ("step_group", pa.int64())])
 
 
+#: A blank, after which no piece need start: what follows is not surely printable.
+_ODD = re.compile(" (?![!-~¡-ɏ])")
+#: Latin letters, all of them one piece with the blank before, and ASCII punctuation.
+_STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in a byte-level vocabulary."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordEncoder:
     """Token ids by way of the words between blanks, each of which is encoded once.
 
     The pre-tokeniser always starts a piece at a single blank that a printable character
-    follows, so the ids of a text are those of its blank-led words in a row.  Every other
-    white space stays inside the word before it.
+    follows, so the ids of a text are those of its blank-led words in a row; every other
+    white space stays inside the word before it.  A blank and the letters after it are one
+    piece, whose ids the tokenizer's model gives; what else there is goes through the whole
+    tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ids: dict[str, bytes] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            for word, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.ids[word] = np.array(found.ids, "<u4").tobytes()
+        self.letters = _byte_letters()
+        self.led: dict[str, bytes] = {}  # words after a blank, without it
+        self.other: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
+
+    def _learn(self, texts: set[str]) -> None:
+        new = [x for x in texts if x not in self.other]
+        for i in range(0, len(new), 20_000):
+            part = new[i : i + 20_000]
+            for text, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.other[text] = np.array(found.ids, "<u4").tobytes()
+
+    def _learn_led(self, words: set[str]) -> None:
+        split, rest = [], []
+        for w in words:
+            m = _STEM.fullmatch(w)
+            if m:
+                split.append((w, *m.groups()))
+            else:
+                rest.append(w)
+        tokenize = self.tokenizer.model.tokenize
+        for stem in {s for _, s, _ in split} - self.stems.keys():
+            piece = (" " + stem).encode().decode("latin1").translate(self.letters)
+            self.stems[stem] = np.array([t.id for t in tokenize(piece)], "<u4").tobytes()
+        self._learn({t for _, _, t in split} | {" " + w for w in rest})
+        for w, stem, tail in split:
+            self.led[w] = self.stems[stem] + self.other[tail]
+        for w in rest:
+            self.led[w] = self.other[" " + w]
 
     @staticmethod
     def words(text: str) -> list[str]:
+        """The words of a text with odd white space, each with the blank that leads it."""
         head, *rest = text.split(" ")
         out = [head]
         for x in rest:
-            # 0x21..0x7E are printable and no white space anywhere
             if x and ("!" <= x[0] <= "~" or "¡" <= x[0] <= "ɏ"):
                 out.append(" " + x)
             else:
@@ -66,11 +104,15 @@ class WordEncoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.ids) > CACHE_WORDS:
-            self.ids.clear()
-        split = [self.words(x) for x in texts]
-        self._learn(list({w for words in split for w in words if w not in self.ids}))
-        return [b"".join(map(self.ids.__getitem__, words)) for words in split]
+        for held in (self.led, self.other, self.stems):
+            if len(held) > CACHE_WORDS:
+                held.clear()
+        odd = [self.words(x) if _ODD.search(x) else None for x in texts]
+        plain = [None if o else x.split(" ") for x, o in zip(texts, odd, strict=True)]
+        self._learn_led(set().union(*(p[1:] for p in plain if p)).difference(self.led))
+        self._learn({p[0] for p in plain if p}.union(*(o for o in odd if o)))
+        led, other = self.led.__getitem__, self.other.__getitem__
+        return [b"".join(map(other, o)) if o else other(p[0]) + b"".join(map(led, p[1:])) for o, p in zip(odd, plain, strict=True)]
 
 
 class Packer:
