@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Workspace, table, text_of
+from .common import Workspace, few_rows, table, text_of
 
 MAGIC = b"WARC/1.0\r\n"
 END = "\r\n\r\n"
@@ -25,11 +25,13 @@ END = "\r\n\r\n"
 MIN_REVISIT = 1000
 #: An archive file is rotated at this many records; files bound what a reading task holds.
 RECORDS_PER_FILE = 4096
+#: Repeated payloads that are told to all tasks at most.
+BROADCAST_ROWS = 100_000
 
 RECORD_SCHEMA = "path string, offset long, successor long, record_id long, uri string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def plan_records(pages: DataFrame, *, min_revisit: int = MIN_REVISIT) -> DataFrame:
+def plan_records(ws: Workspace, pages: DataFrame, *, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """``page_id, url, payload, payload_bytes, payload_digest, refers_to`` for each row.
 
     ``refers_to`` is null for a response.  Of equal payloads of ``min_revisit`` bytes or
@@ -48,8 +50,10 @@ def plan_records(pages: DataFrame, *, min_revisit: int = MIN_REVISIT) -> DataFra
     large = page.where(F.col("payload_bytes") >= min_revisit)
     owners = large.groupBy(same.alias("_same")).agg(F.max("page_id").alias("_owner"), F.count("*").alias("_n"))
     owners = owners.where("_n > 1 and _owner is not null").drop("_n")
+    owners = ws.save(owners, "owners")
     keyed = page.withColumn("_same", F.when(F.col("payload_bytes") >= min_revisit, same))
-    joined = keyed.join(owners, "_same", "left")
+    # payloads stay where they are if the repeated ones are few, else both sides are shuffled
+    joined = keyed.join(F.broadcast(owners) if few_rows(owners, BROADCAST_ROWS) else owners, "_same", "left")
     return joined.withColumn("refers_to", F.when(~F.col("_owner").eqNullSafe(F.col("page_id")), F.col("_owner"))).drop("_same", "_owner")
 
 
@@ -63,7 +67,7 @@ def write_warc(pages: DataFrame, path: str, *, min_revisit: int = MIN_REVISIT) -
     A null html is an empty payload, a null url an empty target; line ends in a url are
     percent-encoded.  A null page_id is written as such.  Other columns are ignored.
     """
-    planned = plan_records(pages, min_revisit=min_revisit)
+    planned = plan_records(Workspace(pages.sparkSession, "warc-plan"), pages, min_revisit=min_revisit)
     uri = F.replace(F.replace(F.coalesce("url", F.lit("")), F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("payload_bytes").cast("string"), F.lit(END))
