@@ -189,7 +189,7 @@ def _match(pdf: pd.DataFrame) -> pd.DataFrame:
     fresh = np.append(True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])) if len(keys) else np.empty(0, bool)
     keys, nodes = keys[fresh], nodes[fresh]
     if not len(keys):
-        return pd.DataFrame({"a": [], "b": [], "grp": [], "members": []})
+        return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("a", "b", "grp", "members")})
     start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     size = np.diff(np.append(start, len(keys)))
     leader = np.repeat(nodes[start], size)

@@ -141,11 +141,11 @@ def reached(offsets: np.ndarray, successors: np.ndarray) -> np.ndarray:
     """Which of the ascending ``offsets`` the chain from 0 reaches, by pointer jumping.
 
     Each round the set of reached offsets doubles along jumps twice as long.  The last
-    offset is the end of the file, its own successor; what points at no offset ends there.
+    offset is the end of the file, its own successor; what points at no offset goes no further.
     """
     last = len(offsets) - 1
     jump = np.searchsorted(offsets, successors)
-    jump = np.where((jump <= last) & (offsets[np.minimum(jump, last)] == successors), jump, last)
+    jump = np.where((jump <= last) & (offsets[np.minimum(jump, last)] == successors), jump, np.arange(last + 1))
     seen = np.zeros(len(offsets), bool)
     seen[0] = offsets[0] == 0
     while True:
