@@ -201,7 +201,7 @@ def _match(pdf: pd.DataFrame) -> pd.DataFrame:
     m = len(groups)
     return pd.DataFrame({
         "a": pd.array([*star[:, 0], *[None] * m], "Int64"), "b": pd.array([*star[:, 1], *[None] * m], "Int64"),
-        "grp": pd.array([*[None] * len(star), *groups], "Int64"), "members": [*[None] * len(star), *groups.values()],
+        "grp": pd.array([*[None] * len(star), *groups], "Int64"), "members": pd.Series([*[None] * len(star), *groups.values()], dtype=object),
     })
 
 
