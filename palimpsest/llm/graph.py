@@ -17,7 +17,6 @@ def connected_components(ws: Workspace, edges: DataFrame, label: str = "cc") ->
     """
     norm = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
     now = ws.save(norm(edges.select(F.col("a").cast("long"), F.col("b").cast("long"))), f"{label}_0")
-    seen = None
     for turn in range(1, 100):
         # large star: every larger neighbour of a node is tied to the least of the node and its neighbours
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -27,12 +26,14 @@ def connected_components(ws: Workspace, edges: DataFrame, label: str = "cc") ->
         small = ws.save(large.groupBy("a").agg(F.min("b").alias("m")), f"{label}_s{turn}")
         tied = large.join(small, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(small.select("a", F.col("m").alias("b")))
         after = ws.save(norm(tied), f"{label}_{turn}")
-        state = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         ws.drop(f"{label}_{turn - 1}", f"{label}_l{turn}", f"{label}_x{turn}", f"{label}_s{turn}")
         now = after
-        if state == seen or state[0] == 0:
+        # done when every tie leads to a root: no end has two ties, none is both below and above
+        ends = now.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("root"))
+        ends = ends.unionByName(now.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("root")))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("root").alias("root"))
+        if ends.where("up > 1 or up = 1 and root = 1").isEmpty():
             break
-        seen = state
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
