@@ -263,11 +263,12 @@ def _nearest(p: np.ndarray, q: np.ndarray, away: np.ndarray, n: int) -> np.ndarr
 def _residual(num: int, den: int, nearest: int | None):
     """Near pairs of different components within runs of rows of one group and block pair.
 
-    With ``nearest`` only that many of each member; without, all.
+    Without ``nearest`` all of them.  With it, a run that has more than that many pairs a
+    member gives the nearest of each member, and a row of nulls says that others are left.
     """
 
-    def pairs(rows: list[tuple]) -> list[tuple[int, int]]:
-        out = []
+    def pairs(rows: list[tuple]) -> tuple[list[tuple[int, int]], bool]:
+        held, count, partial = [np.empty((3, 0), np.int64)], 0, False
         node = np.array([r[3] for r in rows], np.int64)
         root = np.array([r[4] for r in rows], np.int64)
         n = np.array([r[5] for r in rows], np.int64)
@@ -275,7 +276,7 @@ def _residual(num: int, den: int, nearest: int | None):
         width = np.array([len(r[6]) // 8 for r in rows], np.int64)
         across = rows[0][1] != rows[0][2]
         if (root == root[0]).all():
-            return out
+            return [], False
         for w in np.unique(width):
             low = np.flatnonzero(width == w)
             for v in (w, 2 * w):
@@ -297,16 +298,25 @@ def _residual(num: int, den: int, nearest: int | None):
                         a, b = at[k : k + 200_000], to[k : k + 200_000]
                         away = np.bitwise_count(x[s + a] ^ y[b]).sum(axis=1, dtype=np.int64)
                         good = away <= _allowed(n[i[a]], n[other[b]], num, den)
-                        p, q = node[i[a[good]]], node[other[b[good]]]
-                        if nearest and len(p):
-                            pick = _nearest(p, q, away[good], nearest)
-                            p, q = p[pick], q[pick]
-                        out.extend(zip(np.minimum(p, q).tolist(), np.maximum(p, q).tolist(), strict=True))
-        return out
+                        found = np.stack([node[i[a[good]]], node[other[b[good]]], away[good]])
+                        count += found.shape[1]
+                        partial = bool(nearest and count > nearest * len(rows))
+                        held.append(found[:, _nearest(*found, nearest)] if partial else found)
+        p, q, away = np.concatenate(held, axis=1)
+        if partial:
+            pick = _nearest(p, q, away, nearest)
+            p, q = p[pick], q[pick]
+        return list(zip(np.minimum(p, q).tolist(), np.maximum(p, q).tolist(), strict=True)), partial
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        found: set[tuple[int, int]] = set()
+        found: set[tuple[int | None, int | None]] = set()
+
+        def take():
+            new, partial = pairs(held)
+            found.update(new)
+            if partial:
+                found.add((None, None))
 
         def out():
             cols = list(zip(*found, strict=True)) if found else [(), ()]
@@ -315,14 +325,14 @@ def _residual(num: int, den: int, nearest: int | None):
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and row[:3] != held[0][:3]:
-                    found.update(pairs(held))
+                    take()
                     held = []
                     if len(found) > 500_000:
                         yield out()
                         found.clear()
                 held.append(row)
         if held:
-            found.update(pairs(held))
+            take()
         yield out()
 
     return run
@@ -363,8 +373,8 @@ class _Join:
         self.ws.drop(f"near_{label}", f"wanted_{label}", f"sets_{label}")
         return linked
 
-    def residual(self, roots: DataFrame, tried: DataFrame, label: str, nearest: int | None) -> DataFrame:
-        """Pairs left to try: near by sketch, in one group, in different components."""
+    def residual(self, roots: DataFrame, tried: DataFrame, label: str, nearest: int | None) -> tuple[DataFrame, bool]:
+        """Pairs left to try: near by sketch, in one group, in different components; whether others are left."""
         groups = self.matched.where("grp is not null").select("grp", "members").dropDuplicates(["grp"])
         rows = groups.select("grp", F.size("members").alias("size"), F.explode("members").alias("node"))
         rows = self.ws.save(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), f"grouped_{label}")
@@ -376,7 +386,8 @@ class _Join:
         rows = rows.select("grp", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"), "node", "root", "n", "sketch", "block")
         rows = rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "node")
         found = rows.mapInArrow(_residual(self.num, self.den, nearest), "a long, b long").distinct()
-        return self.ws.save(found.join(tried, ["a", "b"], "left_anti"), f"residual_{label}")
+        found = self.ws.save(found.join(tried, ["a", "b"], "left_anti"), f"residual_{label}")
+        return found.where("a is not null"), not found.where("a is null").isEmpty()
 
 
 def ngram_join(docs: DataFrame, *, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -395,21 +406,17 @@ def ngram_join(docs: DataFrame, *, words: int = WORDS, num: int = NUM, den: int
     tried = ws.save(join.matched.where("grp is null").select("a", "b").distinct(), "tried")
     linked = join.links(tried, "0")
     roots = connected_components(ws, linked, "cc0")
-    # the nearest untried pairs join most of what is apart; once they link nothing new, all others are tried
-    turn, nearest = 0, NEAREST
-    while True:
+    # the nearest pairs of large groups join most of what is apart; once they link nothing new, all others are tried
+    turn, nearest, partial = 0, NEAREST, True
+    while partial:
         turn += 1
-        more = join.residual(roots, tried, str(turn), nearest)
+        more, partial = join.residual(roots, tried, str(turn), nearest)
         new = join.links(more, str(turn)) if not more.isEmpty() else more
         if new.isEmpty():
-            if nearest is None:
-                break
             nearest = None
             continue
         tried, linked = tried.unionByName(more), linked.unionByName(new)
         roots = connected_components(ws, linked, f"cc{turn}")
-        if nearest is None:
-            break
     labelled = join.nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = labelled.groupBy("root").agg(F.min("rep").alias("component"))
     component = ws.save(labelled.join(smallest, "root").select("node", "component"), "components")
