@@ -41,6 +41,8 @@ BUCKET_WORDS, BLOCK = 1_000_000, 1024
 FLUSH = 600_000
 #: Pairs of a member that are tried first among those that are left.
 NEAREST = 2
+#: A group with no more pairs than this many a member has all of them tried at once.
+FEW = 8
 #: Up to so many documents to read again are told to all tasks; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -263,7 +265,7 @@ def _nearest(p: np.ndarray, q: np.ndarray, away: np.ndarray, n: int) -> np.ndarr
 def _residual(num: int, den: int, nearest: int | None):
     """Near pairs of different components within runs of rows of one group and block pair.
 
-    Without ``nearest`` all of them.  With it, a run that has more than that many pairs a
+    Without ``nearest`` all of them.  With it, a run that has more than ``FEW`` pairs a
     member gives the nearest of each member, and a row of nulls says that others are left.
     """
 
@@ -300,7 +302,7 @@ def _residual(num: int, den: int, nearest: int | None):
                         good = away <= _allowed(n[i[a]], n[other[b]], num, den)
                         found = np.stack([node[i[a[good]]], node[other[b[good]]], away[good]])
                         count += found.shape[1]
-                        partial = bool(nearest and count > nearest * len(rows))
+                        partial = bool(nearest and count > FEW * len(rows))
                         held.append(found[:, _nearest(*found, nearest)] if partial else found)
         p, q, away = np.concatenate(held, axis=1)
         if partial:
