@@ -1,11 +1,9 @@
-"""Near-duplicate vectors by NN-descent over a distributed neighbour graph.
-
-Equal vectors are one class.  Classes start with neighbours from chunks of a few random
-orders; each round compares the neighbours and reverse neighbours of every class with one
-another and keeps the best lists.  A list that is full of links is saturated: it is then
-enlarged to all links in its component, which is compared block by block.  The recall is
-audited against brute force for a bounded sample of classes, and rounds go on with longer
-lists until it is high enough.  Edges of the threshold or more are kept.
+"""Near-duplicate vectors by comparing all pairs in blocks.
+
+Equal vectors are one class.  Classes of one length are dealt into blocks by hash, and each
+pair of blocks is compared once, so every link is counted whatever the groups look like.  A
+pair of blocks hands on the number of links of each class and a spanning forest of them,
+not the links.  The work is quadratic in the classes: exact link counts need all pairs.
 """
 
 from __future__ import annotations
@@ -14,17 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import NULL_ID, Workspace, key_of, table
 from .graph import connected_components
 
 THRESHOLD = 0.9
-#: Neighbours in a list, random orders at the start, vectors of a chunk of an order, vectors of a block.
-LIST, ORDERS, CHUNK, BLOCK = 12, 4, 128, 512
-#: Classes whose links are counted by brute force, the recall to reach, and rounds at most.
-AUDIT, RECALL, ROUNDS = 500, 0.98, 6
+#: Vectors of a block and their bytes at most, but so many vectors at least; rows of a block that are compared at once.
+BLOCK, BLOCK_BYTES, LEAST_BLOCK, STRIP = 4096, 1 << 20, 64, 512
+#: Tasks that compare block pairs at most.
+MOST_TASKS = 20_000
 
 
 def unit_rows(vectors: list[bytes]) -> np.ndarray:
@@ -39,59 +37,12 @@ def _pack_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) // 4 for x in v], pa.int32()), pa.array(v, pa.binary())], names=["id", "mult", "dim", "v"])
 
 
-def _ordered(orders: int, bits: int, seed: int):
-    """A row for each random order: sign bits of projections, then one projection."""
-    schema = pa.schema([("turn", pa.int32()), ("dim", pa.int32()), ("code", pa.int64()), ("along", pa.float64()), ("id", pa.int64()), ("v", pa.binary())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, dims, vectors = batch.column("id").to_numpy(), batch.column("dim").to_numpy(), np.array(batch.column("v").to_pylist(), object)
-            for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
-                x = unit_rows(list(vectors[at]))
-                for turn in range(orders):
-                    planes = np.random.default_rng([seed, turn, int(dim)]).standard_normal((int(dim), bits + 1))
-                    y = x @ planes
-                    code = ((y[:, :bits] > 0) @ (1 << np.arange(bits))[::-1]).astype(np.int64) if bits else np.zeros(len(at), np.int64)
-                    n = len(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, turn, np.int32)), pa.array(np.full(n, dim, np.int32)), pa.array(code), pa.array(y[:, bits]), pa.array(ids[at]), pa.array(list(vectors[at]), pa.binary())], schema=schema)
-
-    return run
-
-
-LISTS = "id long, nbrs array<long>, sims array<double>"
-_LISTS = pa.schema([("id", pa.int64()), ("nbrs", pa.list_(pa.int64())), ("sims", pa.list_(pa.float64()))])
-
-
-def _best(ids: np.ndarray, vectors: list[bytes], k: int, least: np.ndarray | None = None) -> list[tuple]:
-    """For each row its ``k`` nearest other rows, nearer than ``least`` if given."""
-    x = unit_rows(vectors)
-    sims = x @ x.T
-    np.fill_diagonal(sims, -2)
-    k = min(k, len(ids) - 1)
-    if k < 1:
-        return []
-    top = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-    value = np.take_along_axis(sims, top, 1)
-    out = []
-    for i in range(len(ids)):
-        good = value[i] > (least[i] if least is not None else -2)
-        if good.any():
-            out.append((int(ids[i]), ids[top[i][good]].tolist(), value[i][good].tolist()))
-    return out
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    cols = zip(*rows, strict=True) if rows else [[], [], []]
-    return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, _LISTS, strict=True)], schema=_LISTS)
-
-
-def _runs(batches: Iterator[pa.RecordBatch], same: int, limit: int | None = None) -> Iterator[list[tuple]]:
-    """Runs of rows that agree in the first ``same`` columns, cut at ``limit`` rows."""
+def _runs(batches: Iterator[pa.RecordBatch], same: int) -> Iterator[list[tuple]]:
+    """Runs of rows that agree in the first ``same`` columns."""
     held: list[tuple] = []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and (row[:same] != held[0][:same] or (limit and len(held) >= limit)):
+            if held and row[:same] != held[0][:same]:
                 yield held
                 held = []
             held.append(row)
@@ -99,67 +50,6 @@ def _runs(batches: Iterator[pa.RecordBatch], same: int, limit: int | None = None
         yield held
 
 
-def _chunk_lists(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for rows in _runs(batches, 2, CHUNK):
-            out += _best(np.array([r[4] for r in rows], np.int64), [r[5] for r in rows], k)
-            if len(out) > 5000:
-                yield _batch(out)
-                out = []
-        yield _batch(out)
-
-    return run
-
-
-def _joined_lists(k: int):
-    """Local joins: rows (u, dim, id, v, least) sorted by u and dim."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple] = []
-        for rows in _runs(batches, 2):
-            out += _best(np.array([r[2] for r in rows], np.int64), [r[3] for r in rows], k, np.array([r[4] for r in rows]))
-            if len(out) > 5000:
-                yield _batch(out)
-                out = []
-        yield _batch(out)
-
-    return run
-
-
-def _merge_lists(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for node, nbrs, sims in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                best = dict(zip(nbrs, sims, strict=True))
-                # equally near ones in an order of the pair's own, so that none is everyone's neighbour
-                order = sorted(best.items(), key=lambda x: (-x[1], (x[0] * 0x9E3779B1 ^ node * 0x85EBCA77) & 0xFFFFFFFF))[:k]
-                out.append((node, [x[0] for x in order], [x[1] for x in order]))
-            yield _batch(out)
-
-    return run
-
-
-def _merge(lists: DataFrame, k: int) -> DataFrame:
-    grouped = lists.groupBy("id").agg(F.flatten(F.collect_list("nbrs")).alias("nbrs"), F.flatten(F.collect_list("sims")).alias("sims"))
-    return grouped.mapInArrow(_merge_lists(k), LISTS)
-
-
-def _refine(vectors: DataFrame, graph: DataFrame, k: int) -> DataFrame:
-    forward = graph.select(F.col("id").alias("u"), F.explode("nbrs").alias("id"))
-    back = graph.select(F.explode("nbrs").alias("u"), "id")
-    turn = Window.partitionBy("u").orderBy(F.xxhash64("u", "id"), "id")
-    back = back.withColumn("_r", F.row_number().over(turn)).where(F.col("_r") <= k).drop("_r")
-    itself = graph.select(F.col("id").alias("u"), "id")
-    members = forward.unionByName(back).unionByName(itself).distinct()
-    least = F.when(F.size("sims") >= k, F.element_at("sims", -1)).otherwise(F.lit(-2.0))
-    known = vectors.select("id", "dim", "v").join(graph.select("id", least.alias("least")), "id")
-    rows = members.join(known, "id").select("u", "dim", "id", "v", "least")
-    rows = rows.repartition("u").sortWithinPartitions("u", "dim", "id")
-    return _merge(graph.unionByName(rows.mapInArrow(_joined_lists(k), LISTS)), k)
-
-
 def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a spanning forest of a symmetric boolean matrix."""
     left, out = np.ones(len(linked), bool), []
@@ -177,109 +67,82 @@ def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def _linked(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which unit rows of ``x`` are linked with which of ``y``: by single precision where that is sure, else by double."""
+    out = np.zeros((len(x), len(y)), bool)
+    x4, y4, slack = x.astype("<f4"), y.astype("<f4").T, 1e-6 + 2e-7 * x.shape[1]
+    for s in range(0, len(x), STRIP):
+        sims = x4[s : s + STRIP] @ y4
+        at, to = np.nonzero(sims >= threshold - slack)
+        ok = sims[at, to] >= threshold + slack
+        unsure = np.flatnonzero(~ok)
+        for k in range(0, len(unsure), 50_000):
+            i = unsure[k : k + 50_000]
+            ok[i] = np.einsum("ij,ij->i", x[s + at[i]], y[to[i]]) >= threshold
+        out[s + at[ok], to[ok]] = True
+    return out
+
+
+BLOCKS = "dim int, block int, ids binary, mults binary, vs binary"
+_BLOCKS = pa.schema([("dim", pa.int32()), ("block", pa.int32()), ("ids", pa.binary()), ("mults", pa.binary()), ("vs", pa.binary())])
+
+
+def _pack_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (dim, block, id, mult, v) sorted by dim and block to a row for each block."""
+    for rows in _runs(batches, 2):
+        ids, mults = (np.array([r[k] for r in rows], "<i8").tobytes() for k in (2, 3))
+        cols = [[rows[0][0]], [rows[0][1]], [ids], [mults], [b"".join(r[4] for r in rows)]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _BLOCKS, strict=True)], schema=_BLOCKS)
+
+
 def _block_links(threshold: float):
-    """Rows (root, i, j, block, id, mult, v) of block pairs of a component: links of each node, and a forest."""
+    """Rows (dim, i, j, ids, mults, vs) of block pairs: links of each node that has some, and a forest."""
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _runs(batches, 3):
-            ids, mult, block = np.array([r[4] for r in rows], np.int64), np.array([r[5] for r in rows], np.int64), np.array([r[3] for r in rows])
-            x = unit_rows([r[6] for r in rows])
-            linked = x @ x.T >= threshold
-            np.fill_diagonal(linked, False)
-            if rows[0][1] != rows[0][2]:
-                linked &= block[:, None] != block[None, :]
-            n = linked @ mult
+            if len(rows) == 1 and rows[0][1] != rows[0][2]:  # the other block is empty
+                continue
+            sides = [(np.frombuffer(r[3], "<i8"), np.frombuffer(r[4], "<i8"), unit_rows([r[5][i : i + 4 * r[0]] for i in range(0, len(r[5]), 4 * r[0])])) for r in rows]
+            (ids, mult, x), (other, other_mult, y) = sides[0], sides[-1]
+            linked = _linked(x, y, threshold)
+            if len(sides) == 1:
+                np.fill_diagonal(linked, False)
+            p, q = np.flatnonzero(linked.any(axis=1)), np.flatnonzero(linked.any(axis=0))
+            linked = linked[np.ix_(p, q)]
+            node, n = ids[p], linked @ other_mult[q]
+            if len(sides) == 2:
+                node, n = np.concatenate([node, other[q]]), np.concatenate([n, linked.T @ mult[p]])
+                both = np.zeros((len(node), len(node)), bool)
+                both[: len(p), len(p) :], both[len(p) :, : len(p)] = linked, linked.T
+                linked = both
             edges = _forest(linked)
             m = len(edges)
             yield pa.RecordBatch.from_arrays([
-                pa.array([*ids.tolist(), *[None] * m], pa.int64()), pa.array([*n.tolist(), *[None] * m], pa.int64()),
-                pa.array([*[None] * len(ids), *[int(ids[i]) for i, _ in edges]], pa.int64()), pa.array([*[None] * len(ids), *[int(ids[j]) for _, j in edges]], pa.int64()),
+                pa.array([*node.tolist(), *[None] * m], pa.int64()), pa.array([*n.tolist(), *[None] * m], pa.int64()),
+                pa.array([*[None] * len(node), *[int(node[i]) for i, _ in edges]], pa.int64()), pa.array([*[None] * len(node), *[int(node[j]) for _, j in edges]], pa.int64()),
             ], schema=schema)
 
     return run
 
 
-def _count_true(sample: list[tuple[int, int, bytes]], threshold: float):
-    """True links of the sampled classes with the vectors of each batch: (id, n)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, mult, dims = (batch.column(x).to_numpy() for x in ("id", "mult", "dim"))
-            vectors = np.array(batch.column("v").to_pylist(), object)
-            for dim in {s[1] for s in sample}:
-                own = [s for s in sample if s[1] == dim]
-                at = np.flatnonzero(dims == dim)
-                if len(at):
-                    name = np.array([s[0] for s in own], np.int64)
-                    linked = (unit_rows([s[2] for s in own]) @ unit_rows(list(vectors[at])).T >= threshold) & (name[:, None] != ids[at][None, :])
-                    yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(linked @ mult[at])], names=["id", "n"])
-
-    return run
+def links_and_edges(ws: Workspace, vectors: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``id, n`` of the classes that have links, and edges ``a, b`` with the components of all links."""
+    per_block = F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES) / (4 * F.col("dim")))))
+    sizes = ws.save(vectors.groupBy("dim").agg(F.ceil(F.count("*") / per_block).cast("int").alias("n_blocks")), "sizes")
+    pairs = sizes.agg(F.coalesce(F.sum(F.col("n_blocks").cast("long") * (F.col("n_blocks") + 1) / 2), F.lit(0))).first()[0]
+    rows = vectors.join(sizes, "dim").withColumn("block", F.pmod(F.xxhash64("id"), F.col("n_blocks")).cast("int"))
+    rows = rows.select("dim", "block", "id", "mult", "v").repartition("dim", "block").sortWithinPartitions("dim", "block", "id")
+    blocks = ws.save(rows.mapInArrow(_pack_blocks, BLOCKS), "blocks")
+    rows = blocks.join(sizes, "dim").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    rows = rows.select("dim", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"), "ids", "mults", "vs")
+    # about a pair of blocks a task, as each is a few MB
+    rows = rows.repartition(max(1, min(int(pairs), MOST_TASKS)), "dim", "i", "j").sortWithinPartitions("dim", "i", "j")
+    found = ws.save(rows.mapInArrow(_block_links(threshold), "id long, n long, a long, b long"), "found")
+    return found.where("id is not null").groupBy("id").agg(F.sum("n").alias("n")), found.where("a is not null").select("a", "b")
 
 
-class Graph:
-    """The neighbour graph of vector classes and what it knows about links."""
-
-    def __init__(self, ws: Workspace, vectors: DataFrame, threshold: float, seed: int):
-        self.ws, self.vectors, self.threshold, self.seed = ws, vectors, threshold, seed
-        self.k, self.turn, self.recall = LIST, 0, 0.0
-
-    def build(self) -> None:
-        n = self.vectors.count()
-        bits = max(0, (n // (CHUNK // 2)).bit_length() - 1)
-        rows = self.vectors.mapInArrow(_ordered(ORDERS, bits, self.seed), "turn int, dim int, code long, along double, id long, v binary")
-        rows = self.ws.save(rows, "orders")
-        parts = max(ORDERS, self.vectors.sparkSession.sparkContext.defaultParallelism, n * ORDERS // 20_000)
-        rows = rows.repartitionByRange(parts, "turn", "dim", "code", "along").sortWithinPartitions("turn", "dim", "code", "along", "id")
-        self.graph = self.ws.save(_merge(rows.mapInArrow(_chunk_lists(self.k), LISTS), self.k), "graph_0")
-        sample = self.vectors.orderBy(F.xxhash64("id"), "id").limit(AUDIT)
-        rows = [(r["id"], r["dim"], bytes(r["v"])) for r in sample.select("id", "dim", "v").collect()]  # AUDIT rows at most
-        true = self.vectors.mapInArrow(_count_true(rows, self.threshold), "id long, n long") if rows else self.vectors.select("id", F.lit(0).cast("long").alias("n"))
-        self.true = self.ws.save(true.groupBy("id").agg(F.sum("n").alias("n")), "true")
-        while self.turn < ROUNDS:
-            self.turn += 1
-            self.graph = self.ws.save(_refine(self.vectors, self.graph, self.k), f"graph_{self.turn}")
-            self.ws.drop(f"graph_{self.turn - 1}")
-            self.settle()
-            if self.recall >= RECALL:
-                break
-            if self.turn % 2 == 0:
-                self.k *= 2
-
-    def settle(self) -> None:
-        """Links of the lists, enlarged to whole components where lists are saturated; then the recall."""
-        t, tag = self.threshold, f"_{self.turn}"
-        entry = self.graph.select("id", F.explode(F.arrays_zip("nbrs", "sims")).alias("x")).select("id", F.col("x.nbrs").alias("other"), F.col("x.sims").alias("sim"))
-        near = entry.where(F.col("sim") >= t)
-        near = self.ws.save(near.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "near" + tag)
-        roots = self.ws.save(connected_components(self.ws, near, "cc" + tag), "roots" + tag)
-        full = self.graph.where((F.size("sims") >= self.k) & (F.element_at("sims", -1) >= t)).select("id")
-        dense = self.ws.save(roots.join(full.withColumnRenamed("id", "node"), "node").select("root").distinct(), "dense" + tag)
-        inside = self.ws.save(roots.join(dense, "root"), "inside" + tag)
-
-        sizes = inside.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        rows = inside.join(sizes, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        rows = rows.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.join(self.vectors, rows["node"] == self.vectors["id"])
-        rows = rows.select("root", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"), "block", "id", "mult", "v")
-        rows = rows.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "id")
-        enlarged = self.ws.save(rows.mapInArrow(_block_links(t), "id long, n long, a long, b long"), "enlarged" + tag)
-
-        thin = near.join(inside.select(F.col("node").alias("a")), "a", "left_anti")
-        ends = thin.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(thin.select(F.col("b").alias("id"), F.col("a").alias("other")))
-        mult = self.vectors.select(F.col("id").alias("other"), "mult")
-        few = ends.join(mult, "other").groupBy("id").agg(F.sum("mult").alias("n"))
-        many = enlarged.where("id is not null").groupBy("id").agg(F.sum("n").alias("n"))
-        self.links = few.unionByName(many)
-        self.edges = near.unionByName(enlarged.where("a is not null").select("a", "b"))
-
-        got = self.links.select("id", F.col("n").alias("got"))
-        pair = self.true.where("n > 0").join(got, "id", "left").agg(F.sum(F.least(F.coalesce("got", F.lit(0)), F.col("n"))), F.sum("n")).first()
-        self.recall = 1.0 if not pair[1] else pair[0] / pair[1]
-
-
-def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, seed: int = 7) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row of ``vectors(vec_id, embedding)``.
 
     Vectors are linked when their cosine in double precision is ``threshold`` or more;
@@ -301,12 +164,11 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = THRESHOLD, seed: i
     classes = ws.save(classes.withColumn("id", F.xxhash64("rep", "embedding")), "classes")
     packed = ws.save(classes.select("id", "mult", "embedding").mapInArrow(_pack_vectors, "id long, mult long, dim int, v binary"), "vectors")
 
-    graph = Graph(ws, packed, threshold, seed)
-    graph.build()
-    roots = connected_components(ws, graph.edges, "final")
+    links, edges = links_and_edges(ws, packed, threshold)
+    roots = connected_components(ws, edges, "final")
     named = classes.select("id", "rep", "mult").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = named.groupBy("root").agg(F.min("rep").alias("component"))
-    known = named.join(least, "root").join(graph.links, "id", "left")
+    known = named.join(least, "root").join(links, "id", "left")
     known = known.select("id", (F.coalesce("n", F.lit(0)) + F.col("mult") - 1).alias("n_links"), "component")
     known = ws.save(classes.select("id", "embedding").join(known, "id"), "known")
 
