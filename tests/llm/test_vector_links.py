@@ -31,3 +31,9 @@ def hold(spark, vectors):
 def test_sparse_links(spark):
     r = np.random.default_rng(1)
     hold(spark, np.concatenate([r.standard_normal((9800, 64)), pairs(r, 100, 64, 0.901, 0.95)]))
+
+
+def test_sparse_links_beside_a_hot_group(spark):
+    r = np.random.default_rng(1)
+    hot = r.standard_normal(64) + 0.1 * r.standard_normal((3000, 64))
+    hold(spark, np.concatenate([hot, r.standard_normal((6000, 64)), pairs(r, 500, 64, 0.901, 0.95)]))
