@@ -37,3 +37,7 @@ def test_sparse_links_beside_a_hot_group(spark):
     r = np.random.default_rng(1)
     hot = r.standard_normal(64) + 0.1 * r.standard_normal((3000, 64))
     hold(spark, np.concatenate([hot, r.standard_normal((6000, 64)), pairs(r, 500, 64, 0.901, 0.95)]))
+
+
+def test_every_vector_has_a_link_near_the_threshold(spark):
+    hold(spark, pairs(np.random.default_rng(1), 5000, 256, 0.901, 0.92))
