@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import langid, lines, mixing, ngram_join, packing
-from palimpsest.llm.common import Workspace
+from palimpsest.llm.common import Workspace, text_of
 
 #: Documents with a lower score than this, or without letters, are in no known language.
 LEAST_SCORE = 0.25
@@ -27,10 +27,11 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near duplicates."""
-    groups = ngram_join.ngram_join(docs)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct().withColumnRenamed("doc_id", "kept_id")
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id", "text"]).select(COLUMNS)
+    """One document, that with the smallest id and of these the smallest hash, of each group of near duplicates."""
+    groups = ngram_join.ngram_groups(docs)
+    kept = groups.where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(F.col("kept_id")) & (F.xxhash64(text_of(docs["text"])) == F.col("kept_hash"))
+    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "text"]).select(COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -119,8 +119,8 @@ def band_words(found: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
         band += 1
 
 
-SIGNED = "kind int, doc_id long, n long, node long, sketch binary, bucket int, words binary, nodes binary, counts binary"
-_SIGNED = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary()), ("bucket", pa.int32()), ("words", pa.binary()), ("nodes", pa.binary()), ("counts", pa.binary())])
+SIGNED = "kind int, doc_id long, hash long, n long, node long, sketch binary, bucket int, words binary, nodes binary, counts binary"
+_SIGNED = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary()), ("bucket", pa.int32()), ("words", pa.binary()), ("nodes", pa.binary()), ("counts", pa.binary())])
 
 
 def _sign(words: int, num: int, den: int, n_buckets: int):
@@ -144,18 +144,18 @@ def _sign(words: int, num: int, den: int, n_buckets: int):
                 own = nodes[lo:hi]
                 at = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
                 counts = np.diff(np.append(at, hi - lo)).astype(np.uint32)
-                rows.append((1, None, None, None, None, int(bucket[lo]), keys[lo:hi].tobytes(), own[at].tobytes(), counts.tobytes()))
+                rows.append((1, None, None, None, None, None, int(bucket[lo]), keys[lo:hi].tobytes(), own[at].tobytes(), counts.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SIGNED, strict=True)], schema=_SIGNED)
 
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            for doc_id, text, digest in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 found = shingle_set(text, words)
                 if not len(found):
-                    rows.append((0, doc_id, 0, None, None))
+                    rows.append((0, doc_id, digest, 0, None, None))
                     continue
                 node = node_of(found)
-                rows.append((0, doc_id, len(found), node, parity_sketch(found)))
+                rows.append((0, doc_id, digest, len(found), node, parity_sketch(found)))
                 if node not in seen:  # copies within a task say it once
                     seen.add(node)
                     held.append(band_words(found, num, den))
@@ -165,8 +165,8 @@ def _sign(words: int, num: int, den: int, n_buckets: int):
                         yield from bucketed()
                         held, owners, total = [], [], 0
             if rows:
-                cols = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(_SIGNED)[:5], strict=True)]
-                yield pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(rows), f.type) for f in list(_SIGNED)[5:])], schema=_SIGNED)
+                cols = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(_SIGNED)[:6], strict=True)]
+                yield pa.RecordBatch.from_arrays([*cols, *(pa.nulls(len(rows), f.type) for f in list(_SIGNED)[6:])], schema=_SIGNED)
         yield from bucketed()
 
     return run
@@ -347,10 +347,11 @@ class _Join:
     def sign(self) -> None:
         size = self.docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         n_buckets = min(1 << 16, bucket_count(size // 15, BUCKET_WORDS))  # about a word in 15 bytes
-        signed = self.ws.save(self.docs.mapInArrow(_sign(self.words, self.num, self.den, n_buckets), SIGNED), "signed")
-        self.members = self.ws.save(signed.where("kind = 0").select("doc_id", "n", "node"), "members")
-        first = signed.where("kind = 0 and n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "n", "sketch")).alias("x"))
-        self.nodes = self.ws.save(first.select("node", F.col("x.doc_id").alias("rep"), "x.n", "x.sketch"), "nodes")
+        signed = self.docs.withColumn("hash", F.xxhash64("text"))
+        signed = self.ws.save(signed.mapInArrow(_sign(self.words, self.num, self.den, n_buckets), SIGNED), "signed")
+        self.members = self.ws.save(signed.where("kind = 0").select("doc_id", "hash", "n", "node"), "members")
+        first = signed.where("kind = 0 and n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "hash", "n", "sketch")).alias("x"))
+        self.nodes = self.ws.save(first.select("node", F.col("x.doc_id").alias("rep"), F.col("x.hash").alias("rep_hash"), "x.n", "x.sketch"), "nodes")
         buckets = signed.where("kind = 1").select("bucket", "words", "nodes", "counts")
         self.matched = self.ws.save(buckets.groupBy("bucket").applyInPandas(_match, MATCHED), "matched")
         self.ws.drop("signed")
@@ -400,6 +401,15 @@ def ngram_join(docs: DataFrame, *, words: int = WORDS, num: int = NUM, den: int
     non-null id, or null.  Repeated rows are kept, and linked like any equal texts.  An
     empty table gives no rows.  Other columns are ignored.
     """
+    return ngram_groups(docs, words=words, num=num, den=den).select("doc_id", "n_shingles", "component_id")
+
+
+def ngram_groups(docs: DataFrame, *, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
+    """``ngram_join`` with ``text_hash`` (xxhash64 of the text, null read as empty) and ``kept``.
+
+    ``kept`` marks one document of each component, that with the smallest doc_id and of
+    these the one with the smallest hash; texts without words are all kept.
+    """
     join = _Join(docs, words, num, den)
     ws = join.ws
     join.sign()
@@ -417,12 +427,16 @@ def ngram_join(docs: DataFrame, *, words: int = WORDS, num: int = NUM, den: int
             continue
         tried, linked = tried.unionByName(more), linked.unionByName(new)
         roots = connected_components(ws, linked, f"cc{turn}")
-    labelled = join.nodes.select("node", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = labelled.groupBy("root").agg(F.min("rep").alias("component"))
-    component = ws.save(labelled.join(smallest, "root").select("node", "component"), "components")
+    labelled = join.nodes.select("node", "rep", "rep_hash").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    smallest = labelled.groupBy("root").agg(F.min(F.struct("rep", "rep_hash")).alias("x")).select("root", F.col("x.rep").alias("component"), F.col("x.rep_hash").alias("component_hash"))
+    component = ws.save(labelled.join(smallest, "root").select("node", "component", "component_hash"), "components")
     out = join.members.join(component, "node", "left")
     real = lambda c: F.when(c != NULL_ID, c)
-    return out.select(real(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), real(F.coalesce("component", "doc_id")).alias("component_id"))
+    kept = (F.col("n") == 0) | ((F.col("doc_id") == F.col("component")) & (F.col("hash") == F.col("component_hash")))
+    return out.select(
+        real(F.col("doc_id")).alias("doc_id"), F.col("hash").alias("text_hash"), F.col("n").alias("n_shingles"),
+        real(F.coalesce("component", "doc_id")).alias("component_id"), kept.alias("kept"),
+    )
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
