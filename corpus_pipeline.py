@@ -58,7 +58,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL can't express the learned language profiles nor the tokeniser; tests compare with brute force.
+#: SQL can't express the learned language profiles nor the tokeniser; tests hold line dedup and near duplicates against plain Python.
 ORACLE_SQL = None
 
 

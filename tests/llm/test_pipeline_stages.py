@@ -40,3 +40,22 @@ def test_near_duplicates_leaves_one_of_a_group_with_repeated_or_null_ids(spark):
     assert sorted(kept) == sorted(set(root))
     # the one kept has the group's smallest id
     assert all(x[0] == docs[k][0] for x, k in zip(got, kept, strict=True))
+
+
+def test_line_dedup_keeps_what_is_left(spark):
+    rows = [(1, "a\nb\nc\nd"), (2, "x\n a\nb \n\nc\ny"), (3, "a\nb\nc"), (4, "a\nb"), (5, ""), (6, "b\nc\nd\n"), (7, None)]
+    seen, want = set(), {}
+    for i, t in rows:
+        raw = (t or "").split("\n")
+        content = [k for k, x in enumerate(raw) if x.strip()]
+        gone = set()
+        for j in range(len(content) - 2):
+            run = tuple(raw[k].strip() for k in content[j : j + 3])
+            if run in seen:
+                gone |= set(content[j : j + 3])
+            seen.add(run)
+        left = None if t is None else "\n".join(x for k, x in enumerate(raw) if k not in gone)
+        if not gone or left.strip():
+            want[i] = (left, None if left is None else len(left))
+    out = corpus_pipeline.line_dedup(spark, table(spark, rows), "").collect()
+    assert len(out) == len(want) and {r["doc_id"]: (r["text"], r["n_chars"]) for r in out} == want
