@@ -279,10 +279,9 @@ def _residual(num: int, den: int, nearest: int | None):
             return [], False
         for w in np.unique(width):
             low = np.flatnonzero(width == w)
-            for v in (w, 2 * w):
+            # sizes of linked sets differ den / num times at most, widths less than twice that
+            for v in np.unique(width[(width >= w) & (width * num < 2 * w * den)]):
                 other = np.flatnonzero(width == v)
-                if not len(other):
-                    continue
                 x = _words_of([rows[i][6] for i in low])
                 y = _fold(_words_of([rows[i][6] for i in other]), w)
                 step = max(1, 4_000_000 // (len(other) * int(w)))
