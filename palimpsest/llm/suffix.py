@@ -156,8 +156,10 @@ def _scan(length: int, n_buckets: int):
         total = 0
 
         def packed(kind: int, r: dict, bucket: np.ndarray):
+            if not len(bucket):
+                return
             order = np.argsort(bucket, kind="stable")
-            edge = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else []
+            edge = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
             for lo, hi in zip(edge, [*edge[1:], len(order)], strict=True):
                 at = order[lo:hi]
                 yield (kind, int(bucket[at[0]]), *(np.ascontiguousarray(r[x][at], t).tobytes() for x, t in _PACK))
@@ -165,7 +167,7 @@ def _scan(length: int, n_buckets: int):
         def flush():
             r = {x: np.concatenate([h[x] for h in held]).astype(t) for x, t in _PACK}
             keep, later = _later_copies(r)
-            bucket = (r["a"] >> _U(64 - n_buckets.bit_length() + 1)).astype(np.uint16) if n_buckets > 1 else np.zeros(len(keep), np.uint16)
+            bucket = (r["a"] >> _U(64 - n_buckets.bit_length() + 1)).astype(np.int32) if n_buckets > 1 else np.zeros(len(keep), np.int32)
             sub = lambda m: {x: v[m] for x, v in r.items()}
             rows = list(packed(1, sub(later), bucket[later]))
             r, bucket = sub(keep), bucket[keep]
@@ -411,7 +413,7 @@ def repeated_runs(ws: Workspace, keyed: DataFrame, *, length: int = LENGTH) -> D
     if not 64 <= length <= 150:
         raise ValueError("length must be from 64 to 150 bytes")
     size = keyed.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n_buckets = min(1 << 16, bucket_count(size // 35, BUCKET))
+    n_buckets = min(1 << 30, bucket_count(size // 35, BUCKET))
     scanned = keyed.select("key", "text").mapInArrow(_scan(length, n_buckets), SCANNED)
     resolved = ws.save(scanned.groupBy("bucket").applyInPandas(_resolve, RESOLVED), "resolved")
     asked = resolved.where("kind = 2")

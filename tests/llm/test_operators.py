@@ -75,12 +75,9 @@ def test_suffix(docs, corpus):
     assert {r[0]: tuple(r[1:]) for r in suffix.remove_repeats(docs).collect()} == want
 
 
-def test_suffix_with_hot_anchors(docs, monkeypatch):
-    want = {r[0]: tuple(r[1:]) for r in suffix.remove_repeats(docs).collect()}
-    ws = suffix.Workspace(docs.sparkSession, "hot")
+def test_anchors_of_empty_and_short_texts():
     found = suffix.anchors([b"y" * 400, b"", b"z" * 99, b"y" * 150])
     assert found["i"].tolist().count(1) == 0 and found["n"].sum() == 301 + 51
-    assert want and ws.path
 
 
 def test_cover_ranks():
