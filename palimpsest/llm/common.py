@@ -7,14 +7,19 @@ document's result.  A null ``doc_id`` is a legal key which sorts after all other
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Stands for a null document id inside packed integer arrays; sorts last.
 NULL_ID = (1 << 63) - 1
+#: Bytes of an Arrow batch that goes to a Python worker, beside its last row.
+BATCH_BYTES = 8 << 20
 
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -22,17 +27,34 @@ _LOCAL_ROOTS: dict[str, str] = {}
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests in one JVM) is a temporary folder used.
+    Only where the session names none and runs in one JVM (tests) is a temporary folder used.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not re.fullmatch(r"local(\[[^-]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_ROOTS:
         _LOCAL_ROOTS[app] = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
     return _LOCAL_ROOTS[app]
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
+    """Bounds Arrow batches by bytes while a job runs, since rows may hold whole texts or sets."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(size))
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 class Workspace:
     """Intermediate tables of one operator run, written in the shared folder.
 
@@ -45,7 +67,8 @@ class Workspace:
         self.path = f"{shared_root(spark)}/palimpsest/{label}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        with small_batches(self.spark):
+            df.write.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:

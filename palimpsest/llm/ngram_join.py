@@ -22,7 +22,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -35,12 +34,16 @@ from .graph import connected_components
 WORDS, NUM, DEN = 5, 3, 4
 #: Sum of sizes that a band reaches, for each of its parts.
 FILL = 5.95
-#: Words of sketches in a bucket, and members of a group that are compared at once.
-BUCKET_WORDS, BLOCK = 1_000_000, 1024
+#: Words in a bucket, beyond which times of that it is split, and members of a group that are compared at once.
+BUCKET_WORDS, HOT_TIMES, BLOCK = 1_000_000, 4, 1024
+#: 64-bit words of sketches that are compared at once.
+STRIP = 4_000_000
 #: Signed words a task holds before it hands them on.
 FLUSH = 600_000
 #: Pairs of a member that are tried first among those that are left.
 NEAREST = 2
+#: Groups of a node, the least by name, by which a pair that several groups have is said only once as a rule.
+NAMED_GROUPS = 8
 #: Up to so many documents to read again are told to all tasks; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 
@@ -73,7 +76,7 @@ def node_of(found: np.ndarray) -> int:
 
 
 def _sketch_bits(n: int) -> int:
-    return max(64, 1 << (2 * n - 1).bit_length())
+    return max(64, 1 << (4 * n - 1).bit_length())
 
 
 def parity_sketch(found: np.ndarray) -> bytes:
@@ -135,7 +138,7 @@ def _sign(words: int, num: int, den: int, n_buckets: int):
                 return
             keys, sizes = np.concatenate(held), np.fromiter(map(len, held), np.int64, len(held))
             nodes = np.repeat(np.array(owners, np.int64), sizes)
-            bucket = (keys >> shift).astype(np.uint16) if n_buckets > 1 else np.zeros(len(keys), np.uint16)
+            bucket = (keys >> shift).astype(np.int32) if n_buckets > 1 else np.zeros(len(keys), np.int32)
             order = np.argsort(bucket, kind="stable")
             keys, nodes, bucket = keys[order], nodes[order], bucket[order]
             edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
@@ -172,37 +175,57 @@ def _sign(words: int, num: int, den: int, n_buckets: int):
     return run
 
 
-MATCHED = "a long, b long, grp long, members array<long>"
+MATCHED = "a long, b long, grp long, part int, members array<long>, word long, lead long"
 
 
-def _match(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: the least member of each group with each other, and groups of three or more."""
-    keys = np.concatenate([np.frombuffer(x, _U) for x in pdf["words"]])
-    nodes = np.concatenate([np.repeat(np.frombuffer(x, np.int64), np.frombuffer(c, np.uint32)) for x, c in zip(pdf["nodes"], pdf["counts"], strict=True)])
-    order = np.argsort(keys, kind="stable")
-    keys, nodes = keys[order], nodes[order]
-    same = keys[1:] == keys[:-1]
-    shared = np.append(same, False) | np.append(False, same)
-    keys, nodes = keys[shared], nodes[shared]
+def _runs_of(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (key, node) in order, where each key's run begins, and how long it is."""
     order = np.lexsort((nodes, keys))
     keys, nodes = keys[order], nodes[order]
-    fresh = np.append(True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])) if len(keys) else np.empty(0, bool)
+    fresh = np.append(True, (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1]))
     keys, nodes = keys[fresh], nodes[fresh]
-    if not len(keys):
-        return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("a", "b", "grp", "members")})
     start = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    size = np.diff(np.append(start, len(keys)))
+    return keys, nodes, start, np.diff(np.append(start, len(keys)))
+
+
+_MATCHED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("grp", pa.int64()), ("part", pa.int32()), ("members", pa.list_(pa.int64())), ("word", pa.int64()), ("lead", pa.int64())])
+
+
+def _rows(n: int, **columns) -> pa.Table:
+    """``n`` rows of ``MATCHED``, null where no column is given."""
+    return pa.Table.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in _MATCHED], schema=_MATCHED)
+
+
+def _match(bucket: pa.Table) -> pa.Table:
+    """Of one bucket: the least member of each group with each other, and groups of three or more.
+
+    Of one ``part`` of a split bucket, which holds some members of each group: the least of
+    these with each other, what there is of each group, and its word with that least member.
+    """
+    part = bucket.column("part")[0].as_py()
+    packed = [bucket.column(c).to_pylist() for c in ("words", "nodes", "counts")]
+    keys = np.frombuffer(b"".join(packed[0]), _U)
+    nodes = np.repeat(np.frombuffer(b"".join(packed[1]), np.int64), np.frombuffer(b"".join(packed[2]), np.uint32))
+    if not part:
+        order = np.argsort(keys, kind="stable")
+        same = keys[order][1:] == keys[order][:-1]
+        shared = order[np.append(same, False) | np.append(False, same)]
+        keys, nodes = keys[shared], nodes[shared]
+    if not len(keys):
+        return _rows(0)
+    keys, nodes, start, size = _runs_of(keys, nodes)
     leader = np.repeat(nodes[start], size)
     star = np.unique(np.stack([leader, nodes], 1)[leader != nodes], axis=0)
-    groups = {}
-    for lo, n in zip(start[size > 2], size[size > 2], strict=True):
-        members = nodes[lo : lo + n]
-        groups.setdefault(xxhash.xxh3_64_intdigest(members.tobytes()) - (1 << 63), members)
-    m = len(groups)
-    return pd.DataFrame({
-        "a": pd.array([*star[:, 0], *[None] * m], "Int64"), "b": pd.array([*star[:, 1], *[None] * m], "Int64"),
-        "grp": pd.array([*[None] * len(star), *groups], "Int64"), "members": pd.Series([*[None] * len(star), *groups.values()], dtype=object),
-    })
+    out = _rows(len(star), a=star[:, 0], b=star[:, 1])
+    if part:
+        more = _rows(len(start), grp=keys[start].view(np.int64), part=np.full(len(start), part), members=np.split(nodes, start[1:]), word=keys[start].view(np.int64), lead=nodes[start])
+    else:
+        groups: dict[int, np.ndarray] = {}
+        for lo, n in zip(start[size > 2], size[size > 2], strict=True):
+            members = nodes[lo : lo + n]
+            groups.setdefault(xxhash.xxh3_64_intdigest(members.tobytes()) - (1 << 63), members)
+        more = _rows(len(groups), grp=list(groups), part=np.zeros(len(groups), np.int32), members=list(groups.values()))
+    return pa.concat_tables([out, more])
 
 
 def _words_of(sketches: list[bytes]) -> np.ndarray:
@@ -263,8 +286,10 @@ def _nearest(p: np.ndarray, q: np.ndarray, away: np.ndarray, n: int) -> np.ndarr
 def _residual(num: int, den: int, nearest: int | None):
     """Near pairs of different components within runs of rows of one group and block pair.
 
-    Without ``nearest`` all of them.  With it, a run that has more than that many pairs a
-    member gives the nearest of each member, and a row of nulls says that others are left.
+    Rows are (grp, i, j, node, root, n, sketch, block, grps).  ``grps`` are
+    some of the node's groups; a pair that has a lesser one of them in common is left to that.
+    Without ``nearest`` all other pairs are given; with it, a run that has more than that many
+    a member gives the nearest of each member, and a row of nulls says that others are left.
     """
 
     def pairs(rows: list[tuple]) -> tuple[list[tuple[int, int]], bool]:
@@ -277,6 +302,7 @@ def _residual(num: int, den: int, nearest: int | None):
         across = rows[0][1] != rows[0][2]
         if (root == root[0]).all():
             return [], False
+        before = [frozenset(g for g in r[8] if g < r[0]) for r in rows]
         for w in np.unique(width):
             low = np.flatnonzero(width == w)
             # sizes of linked sets differ den / num times at most, widths less than twice that
@@ -284,7 +310,8 @@ def _residual(num: int, den: int, nearest: int | None):
                 other = np.flatnonzero(width == v)
                 x = _words_of([rows[i][6] for i in low])
                 y = _fold(_words_of([rows[i][6] for i in other]), w)
-                step = max(1, 4_000_000 // (len(other) * int(w)))
+                step = max(1, STRIP // len(other))
+                chunk = max(1, STRIP // int(w))
                 for s in range(0, len(low), step):
                     i = low[s : s + step]
                     ok = (root[i][:, None] != root[other][None, :]) & (np.minimum(n[i][:, None], n[other]) * den >= np.maximum(n[i][:, None], n[other]) * num)
@@ -293,10 +320,12 @@ def _residual(num: int, den: int, nearest: int | None):
                     if across:
                         ok &= block[i][:, None] != block[other][None, :]
                     at, to = np.nonzero(ok)
-                    for k in range(0, len(at), 200_000):
-                        a, b = at[k : k + 200_000], to[k : k + 200_000]
+                    for k in range(0, len(at), chunk):
+                        a, b = at[k : k + chunk], to[k : k + chunk]
                         away = np.bitwise_count(x[s + a] ^ y[b]).sum(axis=1, dtype=np.int64)
-                        good = away <= _allowed(n[i[a]], n[other[b]], num, den)
+                        good = np.flatnonzero(away <= _allowed(n[i[a]], n[other[b]], num, den))
+                        first = [before[p].isdisjoint(before[q]) for p, q in zip(i[a[good]].tolist(), other[b[good]].tolist(), strict=True)]
+                        good = good[np.array(first, bool)]
                         found = np.stack([node[i[a[good]]], node[other[b[good]]], away[good]])
                         count += found.shape[1]
                         partial = bool(nearest and count > nearest * len(rows))
@@ -345,16 +374,31 @@ class _Join:
 
     def sign(self) -> None:
         size = self.docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        n_buckets = min(1 << 16, bucket_count(size // 15, BUCKET_WORDS))  # about a word in 15 bytes
+        n_buckets = min(1 << 30, bucket_count(size // 15, BUCKET_WORDS))  # about a word in 15 bytes
         signed = self.docs.withColumn("hash", F.xxhash64("text"))
         signed = self.ws.save(signed.mapInArrow(_sign(self.words, self.num, self.den, n_buckets), SIGNED), "signed")
         self.members = self.ws.save(signed.where("kind = 0").select("doc_id", "hash", "n", "node"), "members")
         first = signed.where("kind = 0 and n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "hash", "n", "sketch")).alias("x"))
         self.nodes = self.ws.save(first.select("node", F.col("x.doc_id").alias("rep"), F.col("x.hash").alias("rep_hash"), "x.n", "x.sketch"), "nodes")
         buckets = signed.where("kind = 1").select("bucket", "words", "nodes", "counts")
-        self.matched = self.ws.save(buckets.groupBy("bucket").applyInPandas(_match, MATCHED), "matched")
+        # a word that very many sets share makes its bucket hot: such buckets are dealt to parts by node
+        total = F.sum(F.octet_length("words") / 8)
+        hot = buckets.groupBy("bucket").agg(total.alias("total")).where(F.col("total") > HOT_TIMES * BUCKET_WORDS)
+        hot = hot.select("bucket", F.ceil(F.col("total") / BUCKET_WORDS).cast("int").alias("parts"))
+        dealt = buckets.join(hot, "bucket", "left")
+        part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("nodes"), F.col("parts")).cast("int") + 1)
+        dealt = dealt.withColumn("part", part).drop("parts")
+        self.matched = self.ws.save(dealt.groupBy("bucket", "part").applyInArrow(_match, MATCHED), "matched")
         self.ws.drop("signed")
 
+    def tried(self) -> DataFrame:
+        """Distinct pairs of a group's least member and another; parts of a group meet by their least members."""
+        stars = self.matched.where("a is not null").select("a", "b")
+        leads = self.matched.where("word is not null").select("word", "lead")
+        least = leads.groupBy("word").agg(F.min("lead").alias("least"))
+        across = leads.join(least, "word").where("least != lead").select(F.col("least").alias("a"), F.col("lead").alias("b"))
+        return self.ws.save(stars.unionByName(across).distinct(), "tried")
+
     def links(self, pairs: DataFrame, label: str) -> DataFrame:
         """Of distinct ``pairs(a, b)`` those whose sets are similar enough."""
         side = lambda s: self.nodes.select(*[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "sketch")], F.col("node").alias(s))
@@ -374,19 +418,30 @@ class _Join:
         return linked
 
     def residual(self, roots: DataFrame, tried: DataFrame, label: str, nearest: int | None) -> tuple[DataFrame, bool]:
-        """Pairs left to try: near by sketch, in one group, in different components; whether others are left."""
-        groups = self.matched.where("grp is not null").select("grp", "members").dropDuplicates(["grp"])
-        rows = groups.select("grp", F.size("members").alias("size"), F.explode("members").alias("node"))
+        """Pairs left to try: near by sketch, in one group, in different components; whether others are left.
+
+        Members of a group's largest component are met by the others only, not by one another.
+        """
+        groups = self.matched.where("grp is not null").select("grp", "part", "members").dropDuplicates(["grp", "part"])
+        rows = groups.select("grp", F.explode("members").alias("node"))
         rows = self.ws.save(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), f"grouped_{label}")
-        mixed = rows.groupBy("grp").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("grp")
-        rows = rows.join(mixed, "grp", "left_semi").join(self.nodes.select("node", "n", "sketch"), "node")
-        n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), n_blocks).cast("int"))
-        rows = rows.withColumn("to", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-        rows = rows.select("grp", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"), "node", "root", "n", "sketch", "block")
+        by_root = rows.groupBy("grp", "root").agg(F.count("*").alias("n"))
+        mixed = by_root.groupBy("grp").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("total"), F.count("*").alias("roots")).where("roots > 1")
+        blocks = lambda c: F.ceil(c / BLOCK).cast("int")
+        mixed = mixed.select("grp", F.col("top.root").alias("major"), blocks(F.col("total") - F.col("top.n")).alias("minors"), blocks(F.col("top.n")).alias("majors"))
+        rows = self.ws.save(rows.join(mixed, "grp"), f"mixed_{label}")
+        # a node has as many groups as words at most
+        grps = rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_list("grp")), 1, NAMED_GROUPS).alias("grps"))
+        known = self.nodes.select("node", "n", "sketch").join(grps, "node")
+        minor = F.col("root") != F.col("major")
+        own = F.when(minor, F.pmod(F.xxhash64("node"), F.col("minors"))).otherwise(F.col("minors") + F.pmod(F.xxhash64("node"), F.col("majors"))).cast("int")
+        last = F.when(minor, F.col("minors") + F.col("majors") - 1).otherwise(F.col("minors") - 1)
+        rows = rows.withColumn("block", own).withColumn("to", F.explode(F.sequence(F.lit(0), last))).join(known, "node")
+        rows = rows.select("grp", F.least("block", "to").alias("i"), F.greatest("block", "to").alias("j"), "node", "root", "n", "sketch", "block", "grps")
         rows = rows.repartition("grp", "i", "j").sortWithinPartitions("grp", "i", "j", "node")
         found = rows.mapInArrow(_residual(self.num, self.den, nearest), "a long, b long").distinct()
         found = self.ws.save(found.join(tried, ["a", "b"], "left_anti"), f"residual_{label}")
+        self.ws.drop(f"grouped_{label}", f"mixed_{label}")
         return found.where("a is not null"), not found.where("a is null").isEmpty()
 
 
@@ -412,7 +467,7 @@ def ngram_groups(docs: DataFrame, *, words: int = WORDS, num: int = NUM, den: in
     join = _Join(docs, words, num, den)
     ws = join.ws
     join.sign()
-    tried = ws.save(join.matched.where("grp is null").select("a", "b").distinct(), "tried")
+    tried = join.tried()
     linked = join.links(tried, "0")
     roots = connected_components(ws, linked, "cc0")
     # the nearest pairs of large groups join most of what is apart; once they link nothing new, all others are tried
