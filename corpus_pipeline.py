@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,11 +44,24 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return copies.orderBy("_position", "doc_id").select(COLUMNS)
 
 
+def in_written_order(docs: DataFrame) -> DataFrame:
+    """A Parquet table's rows in the order of its numbered files and of the rows in them; other frames as they are.
+
+    Readers deal files to tasks by size, which would lose the training order of the mix.
+    """
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"^part-(\d+)", 1).cast("long")
+    try:
+        placed = docs.select("*", number.alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:  # no file behind it
+        return docs
+    return placed.repartitionByRange("_file", "_row").sortWithinPartitions("_file", "_row").drop("_file", "_row")
+
+
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The packed pieces of all documents that are left."""
+    """The packed pieces of all documents that are left, block by block in training order."""
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packing.pack(in_written_order(docs.select(COLUMNS)), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 STAGES = [
