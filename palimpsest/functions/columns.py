@@ -9,6 +9,8 @@ from .codec import ELEMENT_BYTES
 
 #: Fixed values of multipart uploads: least part and most parts to plan for.
 LEAST_PART, MOST_PARTS = 16 * 1024 * 1024, 10_000 - 16
+#: The least normal 32-bit float.
+LEAST_NORMAL = 2.0**-126
 
 
 def glob_to_like(pattern: str) -> str:
@@ -49,6 +51,12 @@ def finite_amax(values: Column) -> Column:
     return F.coalesce(F.array_max(magnitudes), F.lit(0.0))
 
 
+def fp8_scale(values: Column, most: float) -> Column:
+    """The factor that takes the largest finite element to ``most``; 1 unless it is a normal float."""
+    scale = (finite_amax(values) / F.lit(most)).cast("float")
+    return F.when((scale >= F.lit(LEAST_NORMAL)) & (scale < float("inf")), scale).otherwise(F.lit(1.0).cast("float"))
+
+
 def pack_offset(length: str, *, by: list[str], order: str, header: int = 32) -> Column:
     """Where a blob begins in its pack: the lengths before it and the header."""
     from pyspark.sql import Window

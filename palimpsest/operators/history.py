@@ -21,27 +21,37 @@ def _store() -> Window:
 
 
 def list_snapshots(history: DataFrame, entries: DataFrame) -> DataFrame:
-    """Finalized snapshots with sums of sizes and counts of kinds over their entries."""
+    """Finalized snapshots with sums of sizes and counts of kinds over their entries; zeros for one without entries."""
     kind = lambda k: F.sum(F.when(F.col("kind").isin(*k), 1).otherwise(0)).alias(f"{k[0]}_tensors")
     totals = entries.groupBy("store", "pos").agg(
         F.sum("compressed_size").alias("total_compressed"), F.sum("raw_size").alias("total_raw"),
         kind(("skipped", "alias")), kind(("delta",)), kind(("full",)), F.countDistinct("rank").alias("ranks"),
     )
-    return history.where("finalized").select("store", "pos", "step", F.col("base").isNotNull().alias("is_delta")).join(totals, ["store", "pos"])
+    done = history.where("finalized").select("store", "pos", "step", F.col("base").isNotNull().alias("is_delta"))
+    return done.join(totals, ["store", "pos"], "left").fillna(0, [c for c in totals.columns if c not in ("store", "pos")])
 
 
 def stats(listed: DataFrame) -> DataFrame:
-    """Size statistics of each store from ``list_snapshots``: what is kept against what saving all in full would take."""
-    first_full = F.min_by("total_raw", F.when(~F.col("is_delta"), F.col("pos")))
+    """Size statistics of each store from ``list_snapshots``: what is kept against what saving all in full would take.
+
+    The naive cost takes the first full's raw size for every snapshot, or the first
+    snapshot's where no full is left.
+    """
+    full = ~F.col("is_delta")
+    first = F.coalesce(F.min_by("total_raw", F.when(full, F.col("pos"))), F.min_by("total_raw", "pos"))
+    kinds = ("skipped_tensors", "delta_tensors", "full_tensors")
     g = listed.groupBy("store").agg(
-        F.count("*").alias("total_snapshots"), F.sum(F.when(F.col("is_delta"), 0).otherwise(1)).alias("full_snapshots"),
-        F.sum(F.when(F.col("is_delta"), 1).otherwise(0)).alias("delta_snapshots"), F.sum("total_compressed").alias("compressed"),
-        F.sum("total_raw").alias("raw"), F.coalesce(first_full, F.lit(0)).alias("_first"),
+        F.count("*").alias("total_snapshots"), F.count_if(full).alias("full_snapshots"), F.count_if("is_delta").alias("delta_snapshots"),
+        *[F.sum(k).alias(k) for k in kinds], F.sum("total_raw").alias("total_raw_bytes"), F.sum("total_compressed").alias("total_compressed_bytes"),
+        (first * F.count("*")).alias("estimated_naive_bytes"),
     )
-    naive = F.col("_first") * F.col("total_snapshots")
-    return g.withColumn("compression_ratio", F.when(F.col("raw") > 0, F.col("compressed") / F.col("raw")).otherwise(1.0)).withColumn("naive", naive).withColumn(
-        "savings_percent", F.when(naive > 0, (1 - F.col("compressed") / naive) * 100).otherwise(0.0)
-    ).drop("_first")
+    naive, raw, kept = F.col("estimated_naive_bytes"), F.col("total_raw_bytes"), F.col("total_compressed_bytes")
+    return g.withColumns({
+        "total_tensors_saved": F.col(kinds[0]) + F.col(kinds[1]) + F.col(kinds[2]),
+        "compression_ratio": F.when(raw > 0, kept / raw).otherwise(1.0),
+        "total_saved_bytes": naive - kept,
+        "savings_percent": F.when(naive > 0, (naive - kept) / naive * 100).otherwise(0.0),
+    })
 
 
 def latest(history: DataFrame) -> DataFrame:
@@ -60,8 +70,8 @@ def pending_deltas(history: DataFrame) -> DataFrame:
 
 
 def resume_step(history: DataFrame) -> DataFrame:
-    """The step after the newest finalized one; 0 without any."""
-    newest = F.max(F.when(F.col("finalized"), F.struct("step", "pos")))
+    """The step after that of the last finalized snapshot in list order; 0 without any."""
+    newest = F.max(F.when(F.col("finalized"), F.struct("pos", "step")))
     return history.groupBy("store").agg(F.coalesce(newest["step"] + 1, F.lit(0)).alias("resume_step"))
 
 
@@ -71,12 +81,14 @@ def improvements(df: DataFrame, *, by: str, order: list[str], metric: str) -> Da
     return df.withColumn("_best", F.min(metric).over(w)).where(F.col("_best").isNull() | (F.col(metric) < F.col("_best"))).drop("_best")
 
 
-def cadence(steps: DataFrame, *, max_deltas: int, every: int | None = None) -> DataFrame:
+def cadence(steps: DataFrame, *, max_deltas: int, every: int | None = None, cap: int | None = None) -> DataFrame:
     """``steps(store, pos, step)`` with ``is_full`` and ``base``: when a full is due.
 
-    Without a step gate it is every ``max_deltas + 1``-th.  With one, a fold over the ordered
+    A ``cap`` of one snapshot in all leaves no room for a delta beside its base.  Without a step gate it is every ``max_deltas + 1``-th.  With one, a fold over the ordered
     steps of a store carries the last full.
     """
+    if cap is not None and cap <= 1:
+        return steps.withColumn("is_full", F.lit(True)).withColumn("base", F.lit(None).cast("bigint"))
     if every is None:
         due = (F.col("pos") - 1) % (max_deltas + 1) == 0
         return steps.withColumn("is_full", due).withColumn("base", F.when(~due, F.col("pos") - (F.col("pos") - 1) % (max_deltas + 1)))
@@ -178,8 +190,10 @@ def reachable(files: DataFrame, held: DataFrame) -> DataFrame:
     """``store, pos`` of snapshots all of whose files are held, and whose base's are too."""
     state = files.join(held.select("path").distinct().withColumn("_h", F.lit(True)), "path", "left")
     whole = state.groupBy("store", "pos").agg(F.bool_and(F.coalesce("_h", F.lit(False))).alias("ok"), F.first("base", ignorenulls=True).alias("base")).where("ok")
-    bases = whole.select("store", F.col("pos").alias("base"))
-    return whole.where("base is null").select("store", "pos").union(whole.where("base is not null").join(bases, ["store", "base"], "left_semi").select("store", "pos"))
+    # a full answers to its own place, a delta to its base's: one shuffle groups both
+    group = Window.partitionBy("store", F.coalesce("base", "pos"))
+    based = F.max(F.when(F.col("base").isNull(), 1)).over(group)
+    return whole.withColumn("_based", based).where("_based = 1").select("store", "pos")
 
 
 def recovery_order(orphans: DataFrame, known_fulls: DataFrame) -> DataFrame:

@@ -29,10 +29,20 @@ _C = """
 with c as (select o_orderkey, round(o_totalprice * 100)::bigint as a, (round(o_totalprice * 100) + case when o_orderkey % 3 = 0 then 7 else 0 end)::bigint as b from orders)
 """
 _D = """
-with d as (select doc_id, n_chars, first_value(doc_id) over (partition by md5(text), lang order by doc_id) as owner,
+with d as (select doc_id, n_chars, octet_length(encode(text)) as bytes, first_value(doc_id) over (partition by md5(text), lang order by doc_id) as owner,
                   first_value(n_chars) over (partition by md5(text), lang order by doc_id) as owned from documents)
 """
 
+_STATS = """, g as (
+  select store, count(*) as total_snapshots, count(*) filter (not is_delta) as full_snapshots, count(*) filter (is_delta) as delta_snapshots,
+         sum(skipped_tensors)::bigint as skipped_tensors, sum(delta_tensors)::bigint as delta_tensors, sum(full_tensors)::bigint as full_tensors,
+         sum(total_raw)::bigint as total_raw_bytes, sum(total_compressed)::bigint as total_compressed_bytes,
+         (coalesce(arg_min(total_raw, pos) filter (not is_delta), arg_min(total_raw, pos)) * count(*))::bigint as estimated_naive_bytes from {listed} group by store)
+select *, skipped_tensors + delta_tensors + full_tensors as total_tensors_saved,
+       case when total_raw_bytes > 0 then total_compressed_bytes::double / total_raw_bytes else 1.0 end as compression_ratio,
+       estimated_naive_bytes - total_compressed_bytes as total_saved_bytes,
+       case when estimated_naive_bytes > 0 then (estimated_naive_bytes - total_compressed_bytes)::double / estimated_naive_bytes * 100 else 0.0 end as savings_percent from g"""
+
 ORACLE_SQL = {
     "classify": _V + "select case when t.h = b.h then 'skipped' when t.n = b.n then 'delta' else 'full' end as kind, count(*) as n from target t left join base b using (o_orderkey) group by 1",
     "dedup_plan": _D + "select doc_id, case when owner <> doc_id then owner end as alias_of from d",
@@ -47,7 +57,9 @@ select vec_id, case when len(x) > 0 then len(list_filter(x, lambda v: v <> 0))::
 select p_partkey, ['float32', 'bfloat16', 'int64', 'bool', 'complex128'][(p_partkey % 5 + 1)::int] as dtype, [4, 2, 8, 1, 16][(p_partkey % 5 + 1)::int]::int as bytes from part""",
     "part_size": "select o_orderkey, greatest(16777216, ceil(o_orderkey * 20000000 / 9984.0::double))::bigint as bytes from orders",
     "pack_offsets": "select source, doc_id, n_chars, (coalesce(sum(n_chars) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) + 32)::bigint as \"offset\" from documents",
-    "fp8_scale": "select vec_id, coalesce(list_max(list_transform(list_filter(embedding, lambda x: not isnan(x) and not isinf(x)), lambda x: abs(x)::double)), 0.0) / 448.0::double as scale from embeddings",
+    "fp8_scale": """
+select vec_id, case when s >= 1.1754943508222875e-38 and not isinf(s) then s::double else 1.0::double end as scale from (
+  select vec_id, case when vec_id % 5 = 0 then 0.0::float else (list_max(list_transform(list_filter(embedding, lambda x: not isnan(x) and not isinf(x)), lambda x: abs(x)::double)) / 448.0::double)::float end as s from embeddings)""",
     "glob_first_match": """
 select p_partkey, case when n like '%BRUSHED%' then 'bfloat16' when n like '%/Brand#1%' then 'float8_e4m3fn' when n like 'PROMO%' then 'none' when n like '%STEEL%' then 'float16' else 'float32' end as dtype
 from (select p_partkey, p_type || '/' || p_brand as n from part)""",
@@ -55,11 +67,28 @@ from (select p_partkey, p_type || '/' || p_brand as n from part)""",
 with r(ord, pattern, lk) as (values (0, '*BRUSHED*', '%BRUSHED%'), (1, '*/Brand#1*', '%/Brand#1%'), (2, 'PROMO*', 'PROMO%'), (3, '*STEEL*', '%STEEL%'), (4, '*', '%'), (5, 'NO SUCH*', 'NO SUCH%'), (6, '*%*', '%$%%'))
 select ord::int as ord, pattern from r where not exists (select 1 from part where p_type like lk escape '$')""",
     "list_snapshots": _LIST + "select * from listed",
-    "stats": _LIST + """, g as (
-  select store, count(*) as total_snapshots, sum(case when is_delta then 0 else 1 end)::bigint as full_snapshots, sum(case when is_delta then 1 else 0 end)::bigint as delta_snapshots,
-         sum(total_compressed)::bigint as compressed, sum(total_raw)::bigint as raw, coalesce(arg_min(total_raw, case when not is_delta then pos end), 0) as f from listed group by store)
-select store, total_snapshots, full_snapshots, delta_snapshots, compressed, raw, case when raw > 0 then compressed::double / raw else 1.0 end as compression_ratio,
-       (f * total_snapshots)::bigint as naive, case when f > 0 then (1 - compressed::double / (f * total_snapshots)) * 100 else 0.0 end as savings_percent from g""",
+    "stats": _LIST + _STATS.format(listed="listed"),
+    "stats_without_fulls": _LIST + ", deltas as (select * from listed where is_delta)" + _STATS.format(listed="deltas"),
+    "classify_documents": """
+select doc_id, case when b = text then 'skipped' when octet_length(encode(text)) >= 4096 and doc_id % 5 <> 0 then 'delta' else 'full' end as kind
+from (select doc_id, text, case when doc_id % 3 = 0 then array_to_string(list_reverse(string_split(text, '')), '') else text end as b from documents)""",
+    "dedup_plan_large": _D + "select doc_id, case when owner <> doc_id and bytes >= 4096 then owner end as alias_of from d",
+    "alias_chains": "select p_partkey::varchar as name, (p_partkey - (p_partkey - 1) % 5)::varchar as owner, ((p_partkey - 1) % 5)::int as hops from part",
+    "rank_totals": _ENTRIES + "select store, pos, rank, sum(raw_size)::bigint as raw, sum(compressed_size)::bigint as compressed, count(*) filter (kind in ('skipped', 'alias')) as skipped from entries group by 1, 2, 3",
+    "casts_anything": "select * from (values ('mixed', true), ('none', false)) as t(policy, casts_anything)",
+    "object_keys": "select page_id, 'runs/a/' || url as key, url as bare from pages",
+    "force_full_capped": _H + "select store, pos, step, true as is_full, null::bigint as base from h",
+    "force_full_gated": """
+with recursive e as (select user_id as store, event_id * 10 as step, row_number() over (partition by user_id order by ts, event_id) as pos from events),
+r as (
+  select store, pos, step, pos as f, step as at from e where pos = 1
+  union all
+  select e.store, e.pos, e.step,
+         case when greatest(e.step - r.at, 0) >= 10000000 or e.pos - r.f > 10 then e.pos else r.f end,
+         case when greatest(e.step - r.at, 0) >= 10000000 or e.pos - r.f > 10 then e.step else r.at end
+  from r join e on e.store = r.store and e.pos = r.pos + 1)
+select store, pos, f = pos as is_full, case when f <> pos then f end as base from r""",
+    "resume_out_of_order": _H + "select store, coalesce(arg_max(case when pos % 7 = 0 then step - 650 else step end, pos) filter (finalized) + 1, 0) as resume_step from h group by store",
     "describe": _ENTRIES + "select store, pos, rank, kind, raw_size, compressed_size from entries join (select store, max(pos) as pos from h where finalized group by store) using (store, pos)",
     "load_latest": _H + "select store, pos, event_id, value from (select *, row_number() over (partition by store order by pos desc) as r from h where finalized) where r = 1",
     "load_arrays": _C + "select o_orderkey, a as v from c where o_orderkey % 100 = 0",

@@ -59,6 +59,43 @@ def dedup_plan(spark, d):
     return versions.dedup_plan(docs, ["h", "lang"], key="doc_id", order="doc_id").select("doc_id", "alias_of")
 
 
+def dedup_plan_large(spark, d):
+    """Aliases among texts of 4,096 bytes or more only."""
+    docs = _read(spark, d, "documents").select("doc_id", F.md5("text").alias("h"), "lang", F.octet_length("text").alias("n"))
+    return versions.dedup_plan(docs, ["h", "lang"], key="doc_id", order="doc_id", size="n").select("doc_id", "alias_of")
+
+
+def classify_documents(spark, d):
+    """Texts against a version in which every third is reversed and every fifth is itself a delta."""
+    docs = _read(spark, d, "documents").select("doc_id", "text")
+    hashed = lambda t: docs.select("doc_id", F.md5(t).alias("h"), F.octet_length(t).alias("n"))
+    base = hashed(F.when(F.col("doc_id") % 3 == 0, F.reverse("text")).otherwise(F.col("text"))).withColumn("k", F.when(F.col("doc_id") % 5 == 0, "delta").otherwise("full"))
+    return versions.classify(hashed(F.col("text")), base, ["doc_id"], base_kind="k", least=versions.LEAST_BYTES).select("doc_id", "kind")
+
+
+def alias_chains(spark, d):
+    """Owners at the end of chains of up to four hops."""
+    k = F.col("p_partkey")
+    e = _read(spark, d, "part").select(k.cast("string").alias("name"), F.when(k % 5 != 1, (k - 1).cast("string")).alias("alias_of"))
+    return versions.alias_owners(e)
+
+
+def rank_totals(spark, d):
+    """Sizes and kinds of each snapshot by rank."""
+    e = entries(histories(spark, d))
+    return e.groupBy("store", "pos", "rank").agg(F.sum("raw_size").alias("raw"), F.sum("compressed_size").alias("compressed"), F.count_if(F.col("kind").isin("skipped", "alias")).alias("skipped"))
+
+
+def casts_anything(spark, d):
+    """Whether any rule of each of two policies casts."""
+    one = lambda name, rules: policy.casts_anything(policy.rules_frame(spark, rules)).select(F.lit(name).alias("policy"), "casts_anything")
+    return one("mixed", RULES).unionByName(one("none", [("*", "none")]))
+
+
+def object_keys(spark, d):
+    return _read(spark, d, "pages").select("page_id", columns.object_key("/runs/a/", F.col("url")).alias("key"), columns.object_key("//", F.col("url")).alias("bare"))
+
+
 def alias_resolve(spark, d):
     docs = _read(spark, d, "documents").select("doc_id", F.md5("text").alias("h"), "lang", "n_chars")
     plan = versions.dedup_plan(docs, ["h", "lang"], key="doc_id", order="doc_id").withColumn("data", F.when(F.col("alias_of").isNull(), F.col("n_chars")))
@@ -96,8 +133,9 @@ def pack_offsets(spark, d):
 
 
 def fp8_scale(spark, d):
-    amax = columns.finite_amax(F.col("embedding"))
-    return _read(spark, d, "embeddings").select("vec_id", (amax / F.lit(448.0).cast("double")).alias("scale"))
+    """Scales of embeddings, and of every fifth as zeros."""
+    v = F.when(F.col("vec_id") % 5 == 0, F.transform("embedding", lambda x: x * F.lit(0.0).cast("float"))).otherwise(F.col("embedding"))
+    return _read(spark, d, "embeddings").select("vec_id", columns.fp8_scale(v, 448.0).cast("double").alias("scale"))
 
 
 def glob_first_match(spark, d):
@@ -161,6 +199,21 @@ def force_full_cadence(spark, d):
     return history.cadence(steps, max_deltas=10)
 
 
+def force_full_capped(spark, d):
+    return history.cadence(histories(spark, d).select("store", "pos", "step"), max_deltas=10, cap=1)
+
+
+def resume_out_of_order(spark, d):
+    """Steps of histories in which every seventh save has an earlier step than those before."""
+    h = histories(spark, d).withColumn("step", F.when(F.col("pos") % 7 == 0, F.col("step") - 650).otherwise(F.col("step")))
+    return history.resume_step(h)
+
+
+def stats_without_fulls(spark, d):
+    h = histories(spark, d)
+    return history.stats(history.list_snapshots(h.where("base is not null"), entries(h)))
+
+
 def force_full_gated(spark, d):
     steps = histories(spark, d).select("store", "pos", (F.col("event_id") * 10).alias("step"))
     return history.cadence(steps, max_deltas=10, every=10_000_000).select("store", "pos", "is_full", "base")
@@ -245,8 +298,8 @@ def narrow_floats(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    classify, dedup_plan, alias_resolve, xor_delta, apply_delta, delta_density, element_size, part_size, pack_offsets, fp8_scale,
+    classify, classify_documents, dedup_plan, dedup_plan_large, alias_resolve, alias_chains, rank_totals, casts_anything, object_keys, xor_delta, apply_delta, delta_density, element_size, part_size, pack_offsets, fp8_scale,
     glob_first_match, dead_patterns, list_snapshots, stats, describe, load_latest, load_arrays, last_full, base_in_effect,
-    pending_deltas, resume_step, save_best, force_full_cadence, force_full_gated, rollback_safe, protected, retention_r1, retention_r2,
+    pending_deltas, resume_step, save_best, force_full_cadence, force_full_capped, force_full_gated, resume_out_of_order, stats_without_fulls, rollback_safe, protected, retention_r1, retention_r2,
     stride_survivors, full_merge_plan, finalize_complete, sync_absent, reachable, recovery_order, codec_round_trip, narrow_floats,
 )}

@@ -119,3 +119,22 @@ def test_dangling_alias_raises(spark):
     df = spark.createDataFrame([("a", "gone", None)], "name string, alias_of string, data int")
     with pytest.raises(Exception, match="alias without owner"):
         versions.resolve_aliases(df).collect()
+
+
+def test_alias_chains_end_or_raise(spark):
+    from palimpsest.operators import versions
+
+    rows = [("a", None), *[(chr(98 + i), chr(97 + i)) for i in range(8)]]
+    got = {r["name"]: (r["owner"], r["hops"]) for r in versions.alias_owners(spark.createDataFrame(rows, "name string, alias_of string")).collect()}
+    assert got == {chr(97 + i): ("a", i) for i in range(9)}
+    for bad, word in ([("x", "y"), ("y", "x")], "cycle"), ([("x", "gone")], "without owner"), ([*rows, ("z", "i")], "too long"):
+        with pytest.raises(Exception, match=word):
+            versions.alias_owners(spark.createDataFrame(bad, "name string, alias_of string")).collect()
+
+
+def test_a_delta_without_a_base_raises(spark):
+    from palimpsest.operators import versions
+
+    base, delta = spark.createDataFrame([(1, 5)], "k long, v long"), spark.createDataFrame([(2, 3)], "k long, delta long")
+    with pytest.raises(Exception, match="no base"):
+        versions.apply_delta(base, delta, ["k"], "v").collect()
