@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from palimpsest.operators import history, policy, versions
 
 SCHEMA = "store int, pos long, step long, base long, finalized boolean, pinned boolean"

@@ -1,9 +1,10 @@
 import random
+import uuid
 
 import pytest
 
 from palimpsest.sources import sync
-from palimpsest.sources.store import ARRAYS, NotFound, Retention, SnapshotStore
+from palimpsest.sources.store import ARRAYS, Locked, NotFound, Outcome, Retention, SnapshotStore
 from palimpsest.streaming import saver
 
 
@@ -83,7 +84,9 @@ def test_policy_pins_best_and_recovery(spark, tmp_path):
     assert [s.step for s in store.snapshots] == [4]
     (tmp_path / "s/blobs/orphan").mkdir()
     again = SnapshotStore(spark, root)
-    assert again.recovered[1] == ["orphan"] and again.best is None or again.best == 0.5
+    assert (tmp_path / "s/blobs/orphan").exists()  # opening deletes nothing
+    assert again.recover() == ([], []) and again.recover(grace=0) == ([], ["orphan"])
+    assert again.best == 0.5 and again.save_best(arrays, 5, 0.6) is None  # the best one was evicted
     assert content(again.load_latest()[1]) == content(store.load_latest()[1])
 
 
@@ -107,7 +110,7 @@ def test_sync_and_restore(spark, tmp_path):
     for i in range(3):
         store.save(frame(spark, [("w", "uint8", bytes([i]) * 6000)]), i)
     first = sync.push(spark, a, b)
-    assert first["synced"] > 0 and sync.push(spark, a, b) == {"synced": 0, "skipped": first["synced"]}
+    assert first["synced"] > 0 and sync.push(spark, a, b) == {"synced": 0, "skipped": first["synced"], "vanished": 0, "deleted": 0}
     assert sync.restore(spark, b, c) and not sync.restore(spark, str(tmp_path / "none"), c)
     assert content(SnapshotStore(spark, c).load_latest()[1]) == {"w": b"\2" * 6000}
     assert len(SnapshotStore(spark, c).snapshots) == 2
@@ -121,3 +124,142 @@ def test_stream_saves_each_batch_once(spark, tmp_path):
         q.awaitTermination()
     assert [s.step for s in store.snapshots] == [0] and content(store.load_latest()[1]) == {"w": b"q" * 100}
     assert [saver.due(n, 2) for n in range(1, 5)] == [False, True, False, True] and not saver.due(4, 0)
+
+
+def test_replay_after_a_crash_saves_the_version(spark, tmp_path):
+    root, name = str(tmp_path / "s"), str(uuid.uuid4())
+    arrays = frame(spark, [("w", "uint8", b"a" * 5000)])
+    for last in ("create", "save_rank", "finalize"):
+        store = SnapshotStore(spark, root)
+        if not any(s.id == name for s in store.snapshots):
+            store.create(7, snapshot_id=name)
+        if last != "create":
+            store.save_rank(name, arrays, 0)
+    with pytest.raises(NotFound):
+        SnapshotStore(spark, root).latest()
+    store = SnapshotStore(spark, root)
+    assert store.save(arrays, 7, snapshot_id=name) == name
+    again = SnapshotStore(spark, root)
+    assert again.save(arrays, 7, snapshot_id=name) == name and len(again.snapshots) == 1
+    assert content(again.load_latest()[1]) == {"w": b"a" * 5000}
+
+
+def two_versions(spark, root, noise, **how):
+    store, (w, _) = SnapshotStore(spark, root, **how), noise
+    ids = []
+    for step in (1, 2):
+        w[step] ^= 255
+        ids.append(store.save(frame(spark, [("w", "uint8", bytes(w))]), step))
+    return store, ids, bytes(w)
+
+
+def test_merge_beside_a_second_store_and_when_it_fails(spark, tmp_path, noise, monkeypatch):
+    root = str(tmp_path / "s")
+    store, ids, want = two_versions(spark, root, noise)
+    real = SnapshotStore.save_rank
+
+    def beside(self, *args):
+        real(self, *args)
+        SnapshotStore(spark, root).recover(grace=0)
+
+    def broken(self, *args):
+        raise OSError("disk")
+
+    monkeypatch.setattr(SnapshotStore, "save_rank", broken)
+    with pytest.raises(OSError):
+        store.merge()
+    assert [s.id for s in store.snapshots] == ids == [s.id for s in SnapshotStore(spark, root).snapshots]
+    monkeypatch.setattr(SnapshotStore, "save_rank", beside)
+    merged = store.merge()
+    assert content(SnapshotStore(spark, root).load(merged)) == {"w": want}
+
+
+def test_readers_keep_files_and_hold_up_merges(spark, tmp_path, noise):
+    store, ids, want = two_versions(spark, str(tmp_path / "s"), noise, retention=Retention(max_full=1, max_deltas_per_full=1, max_total=2, rollback_interval=0))
+    with store.reading(ids[1]):
+        assert store.try_merge() == (Outcome.BUSY, None) and store.merge_now(wait=0) is Outcome.BUSY
+        lazy = store.load(ids[1])
+        store.save(frame(spark, [("w", "uint8", b"x" * 9000)]), 3)
+        assert ids[1] not in [s.id for s in store.snapshots] and content(lazy) == {"w": want}
+    assert set(store.sweep()) == set(ids) and not (tmp_path / "s/blobs" / ids[1]).exists()
+    assert store.merge_now(wait=0) is Outcome.NOTHING
+
+
+def test_one_writer(spark, tmp_path, noise):
+    root = str(tmp_path / "s")
+    store, _, _ = two_versions(spark, root, noise)
+    with store.writing(), pytest.raises(Locked):
+        SnapshotStore(spark, root).recover()
+    assert SnapshotStore(spark, root).recover() == ([], [])
+
+
+def test_orphans_come_back_whole_or_not_at_all(spark, tmp_path, noise):
+    root = str(tmp_path / "s")
+    store, ids, want = two_versions(spark, root, noise)
+    damaged = store.save(frame(spark, [("w", "uint8", b"q" * 8000)]), 3)
+    half = store.create(4, world_size=2)
+    store.save_rank(half, frame(spark, [("w", "uint8", b"r" * 8000)]), 0)
+    (tmp_path / "s/head.json").unlink()  # a head that never made it
+    for x in (tmp_path / "s").glob(f"blobs/{damaged}/rank=0/*.parquet"):
+        x.write_bytes(x.read_bytes()[: x.stat().st_size // 2])
+    for x in (tmp_path / "s").glob(f"blobs/{damaged}/rank=0/.*.crc"):
+        x.unlink()
+    again = SnapshotStore(spark, root)
+    assert again.snapshots == []
+    taken, gone = again.recover(grace=0)
+    assert taken == ids and sorted(gone) == sorted([damaged, half])
+    assert content(SnapshotStore(spark, root).load_latest()[1]) == {"w": want}
+
+
+def test_snapshots_without_files_are_dropped_with_their_deltas(spark, tmp_path, noise):
+    import shutil
+
+    root = str(tmp_path / "s")
+    store, ids, _ = two_versions(spark, root, noise, retention=Retention(max_deltas_per_full=1))
+    third = store.save(frame(spark, [("w", "uint8", b"z" * 9000)]), 3)
+    shutil.rmtree(tmp_path / "s/blobs" / ids[0])
+    again = SnapshotStore(spark, root)
+    assert again.dropped == ids and [s.id for s in again.snapshots] == [third]
+    assert content(again.load_latest()[1]) == {"w": b"z" * 9000}
+
+
+def test_final_saves_reports_and_depth(spark, tmp_path, noise):
+    w, _ = noise
+    store = SnapshotStore(spark, str(tmp_path / "s"), retention=Retention(rollback_interval=0))
+    assert store.report() == "no snapshots yet"
+    for step in range(3):
+        w[step] ^= 255
+        store.save(frame(spark, [("w", "uint8", bytes(w))]), step)
+    assert store.fold(stride=9) == [] and "3: 1 full, 2 delta" in store.report()
+    assert len(store.fold(stride=9, max_chain=2)) == 3 and len(store.snapshots) == 1
+    row = store.describe().first()
+    assert (row["step"], row["is_delta"], row["base_snapshot_id"], row["ranks"]) == (2, False, None, 1)
+    final = store.save_final(frame(spark, [("w", "uint8", bytes(w) + b"!")]), 9, sync_to=str(tmp_path / "copy"))
+    assert store.latest().metadata["final"] == "true" and store.latest().base is None and final
+    assert content(SnapshotStore(spark, str(tmp_path / "copy")).load_latest()[1]) == {"w": bytes(w) + b"!"}
+    assert any(x.startswith(f"blobs/{store.latest().id}/rank=0/part-") for x in store.files_of(store.latest().id, 0))
+    with pytest.raises(NotFound):
+        store.describe(rank=3)
+
+
+def test_sync_through_the_file_system_s_own_copy_deletes_and_prefix(spark, tmp_path, noise):
+    a, b = f"file://{tmp_path}/a", f"file://{tmp_path}/b"
+    store, ids, want = two_versions(spark, a, noise, retention=Retention(rollback_interval=0))
+    only = sync.push(spark, a, b, prefix=f"blobs/{ids[0]}", shared=False)
+    assert only["synced"] > 0 and not (tmp_path / "b/head.json").exists()
+    sync.push(spark, a, b, shared=False)
+    assert content(SnapshotStore(spark, b).load_latest()[1]) == {"w": want}
+    store.merge()
+    done = sync.push(spark, a, b, shared=False)
+    assert done["deleted"] > 0 and not (tmp_path / "b/blobs" / ids[0]).exists()
+    assert sync.restore(spark, b, f"file://{tmp_path}/c", shared=False)
+    assert content(SnapshotStore(spark, f"file://{tmp_path}/c").load_latest()[1]) == {"w": want}
+
+
+def test_restore_passes_over_versions_with_missing_files(spark, tmp_path, noise):
+    import shutil
+
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    store, ids, _ = two_versions(spark, a, noise)
+    shutil.rmtree(tmp_path / "a/blobs" / ids[1])
+    assert sync.restore(spark, a, b) and [s.id for s in SnapshotStore(spark, b).snapshots] == [ids[0]]
