@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Stands for a null document id inside packed integer arrays; sorts last.
 NULL_ID = (1 << 63) - 1
 #: Bytes of an Arrow batch that goes to a Python worker, beside its last row.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 _LOCAL_ROOTS: dict[str, str] = {}
 
@@ -41,18 +41,23 @@ def shared_root(spark: SparkSession) -> str:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, size: int = BATCH_BYTES) -> Iterator[None]:
-    """Bounds Arrow batches by bytes while a job runs, since rows may hold whole texts or sets."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, str(size))
+def bounded(spark: SparkSession) -> Iterator[None]:
+    """While a table is written: Arrow batches of few bytes, and shuffle files that go with the job."""
+    wanted = {
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES),  # rows may hold whole texts or sets
+        "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    }
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 class Workspace:
@@ -67,7 +72,7 @@ class Workspace:
         self.path = f"{shared_root(spark)}/palimpsest/{label}-{uuid.uuid4().hex}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        with small_batches(self.spark):
+        with bounded(self.spark):
             df.write.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 

@@ -35,9 +35,9 @@ WORDS, NUM, DEN = 5, 3, 4
 #: Sum of sizes that a band reaches, for each of its parts.
 FILL = 5.95
 #: Words in a bucket, beyond which times of that it is split, and members of a group that are compared at once.
-BUCKET_WORDS, HOT_TIMES, BLOCK = 1_000_000, 4, 1024
+BUCKET_WORDS, HOT_TIMES, BLOCK = 1_000_000, 4, 2048
 #: 64-bit words of sketches that are compared at once.
-STRIP = 4_000_000
+STRIP = 500_000
 #: Signed words a task holds before it hands them on.
 FLUSH = 600_000
 #: Pairs of a member that are tried first among those that are left.
@@ -126,7 +126,8 @@ SIGNED = "kind int, doc_id long, hash long, n long, node long, sketch binary, bu
 _SIGNED = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("hash", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("sketch", pa.binary()), ("bucket", pa.int32()), ("words", pa.binary()), ("nodes", pa.binary()), ("counts", pa.binary())])
 
 
-def _sign(words: int, num: int, den: int, n_buckets: int):
+def _sign(words: int, num: int, den: int, n_buckets: int, ship: bool):
+    """Rows of sets (kind 0) and of how many words buckets get (2); with ``ship`` the words themselves (1) only."""
     shift = _U(64 - n_buckets.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,6 +146,9 @@ def _sign(words: int, num: int, den: int, n_buckets: int):
             rows = []
             for lo, hi in zip(edges, np.append(edges[1:], len(keys)), strict=True):
                 own = nodes[lo:hi]
+                if not ship:
+                    rows.append((2, None, None, int(hi - lo), None, None, int(bucket[lo]), None, None, None))
+                    continue
                 at = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
                 counts = np.diff(np.append(at, hi - lo)).astype(np.uint32)
                 rows.append((1, None, None, None, None, None, int(bucket[lo]), keys[lo:hi].tobytes(), own[at].tobytes(), counts.tobytes()))
@@ -155,10 +159,12 @@ def _sign(words: int, num: int, den: int, n_buckets: int):
             for doc_id, text, digest in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 found = shingle_set(text, words)
                 if not len(found):
-                    rows.append((0, doc_id, digest, 0, None, None))
+                    if not ship:
+                        rows.append((0, doc_id, digest, 0, None, None))
                     continue
                 node = node_of(found)
-                rows.append((0, doc_id, digest, len(found), node, parity_sketch(found)))
+                if not ship:
+                    rows.append((0, doc_id, digest, len(found), node, parity_sketch(found)))
                 if node not in seen:  # copies within a task say it once
                     seen.add(node)
                     held.append(band_words(found, num, den))
@@ -376,20 +382,22 @@ class _Join:
         size = self.docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
         n_buckets = min(1 << 30, bucket_count(size // 15, BUCKET_WORDS))  # about a word in 15 bytes
         signed = self.docs.withColumn("hash", F.xxhash64("text"))
-        signed = self.ws.save(signed.mapInArrow(_sign(self.words, self.num, self.den, n_buckets), SIGNED), "signed")
+        pass_ = lambda ship: _sign(self.words, self.num, self.den, n_buckets, ship)
+        # words are made again for their shuffle rather than written too, as they are most of the disk
+        buckets = signed.mapInArrow(pass_(True), SIGNED).select("bucket", "words", "nodes", "counts")
+        signed = self.ws.save(signed.mapInArrow(pass_(False), SIGNED), "signed")
         self.members = self.ws.save(signed.where("kind = 0").select("doc_id", "hash", "n", "node"), "members")
         first = signed.where("kind = 0 and n > 0").groupBy("node").agg(F.min(F.struct("doc_id", "hash", "n", "sketch")).alias("x"))
         self.nodes = self.ws.save(first.select("node", F.col("x.doc_id").alias("rep"), F.col("x.hash").alias("rep_hash"), "x.n", "x.sketch"), "nodes")
-        buckets = signed.where("kind = 1").select("bucket", "words", "nodes", "counts")
         # a word that very many sets share makes its bucket hot: such buckets are dealt to parts by node
-        total = F.sum(F.octet_length("words") / 8)
-        hot = buckets.groupBy("bucket").agg(total.alias("total")).where(F.col("total") > HOT_TIMES * BUCKET_WORDS)
-        hot = hot.select("bucket", F.ceil(F.col("total") / BUCKET_WORDS).cast("int").alias("parts"))
+        hot = signed.where("kind = 2").groupBy("bucket").agg(F.sum("n").alias("total")).where(F.col("total") > HOT_TIMES * BUCKET_WORDS)
+        hot = self.ws.save(hot.select("bucket", F.ceil(F.col("total") / BUCKET_WORDS).cast("int").alias("parts")), "hot")
+        self.ws.drop("signed")
         dealt = buckets.join(hot, "bucket", "left")
         part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("nodes"), F.col("parts")).cast("int") + 1)
         dealt = dealt.withColumn("part", part).drop("parts")
         self.matched = self.ws.save(dealt.groupBy("bucket", "part").applyInArrow(_match, MATCHED), "matched")
-        self.ws.drop("signed")
+        self.ws.drop("hot")
 
     def tried(self) -> DataFrame:
         """Distinct pairs of a group's least member and another; parts of a group meet by their least members."""
