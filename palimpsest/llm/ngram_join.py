@@ -76,7 +76,8 @@ def node_of(found: np.ndarray) -> int:
 
 
 def _sketch_bits(n: int) -> int:
-    return max(64, 1 << (4 * n - 1).bit_length())
+    """A power of two of bits, two for each element at least: twice as many let through 7% fewer pairs, but weigh twice as much."""
+    return max(64, 1 << (2 * n - 1).bit_length())
 
 
 def parity_sketch(found: np.ndarray) -> bytes:
