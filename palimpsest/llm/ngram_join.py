@@ -128,7 +128,11 @@ _SIGNED = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("hash", pa.i
 
 
 def _sign(words: int, num: int, den: int, n_buckets: int, ship: bool):
-    """Rows of sets (kind 0) and of how many words buckets get (2); with ``ship`` the words themselves (1) only."""
+    """Rows of sets (kind 0) and of how many words buckets get (2); with ``ship`` the words themselves (1) only.
+
+    A bucket's words travel as their low 32 bits: the high ones choose the bucket, and unequal
+    words that agree in both only make a group larger than need be.
+    """
     shift = _U(64 - n_buckets.bit_length() + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +156,7 @@ def _sign(words: int, num: int, den: int, n_buckets: int, ship: bool):
                     continue
                 at = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
                 counts = np.diff(np.append(at, hi - lo)).astype(np.uint32)
-                rows.append((1, None, None, None, None, None, int(bucket[lo]), keys[lo:hi].tobytes(), own[at].tobytes(), counts.tobytes()))
+                rows.append((1, None, None, None, None, None, int(bucket[lo]), keys[lo:hi].astype(np.uint32).tobytes(), own[at].tobytes(), counts.tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SIGNED, strict=True)], schema=_SIGNED)
 
         for batch in batches:
@@ -211,7 +215,7 @@ def _match(bucket: pa.Table) -> pa.Table:
     """
     part = bucket.column("part")[0].as_py()
     packed = [bucket.column(c).to_pylist() for c in ("words", "nodes", "counts")]
-    keys = np.frombuffer(b"".join(packed[0]), _U)
+    keys = np.frombuffer(b"".join(packed[0]), np.uint32) | _U(bucket.column("bucket")[0].as_py() << 32)
     nodes = np.repeat(np.frombuffer(b"".join(packed[1]), np.int64), np.frombuffer(b"".join(packed[2]), np.uint32))
     if not part:
         order = np.argsort(keys, kind="stable")
