@@ -300,7 +300,7 @@ def _residual(num: int, den: int, nearest: int | None):
     Rows are (grp, i, j, node, root, n, sketch, block, grps).  ``grps`` are
     some of the node's groups; a pair that has a lesser one of them in common is left to that.
     Without ``nearest`` all other pairs are given; with it, a run that has more than that many
-    a member gives the nearest of each member, and a row of nulls says that others are left.
+    a member gives the nearest of each member, and a row of null and its group says that others are left.
     """
 
     def pairs(rows: list[tuple]) -> tuple[list[tuple[int, int]], bool]:
@@ -349,13 +349,13 @@ def _residual(num: int, den: int, nearest: int | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        found: set[tuple[int | None, int | None]] = set()
+        found: set[tuple[int | None, int]] = set()
 
         def take():
             new, partial = pairs(held)
             found.update(new)
             if partial:
-                found.add((None, None))
+                found.add((None, held[0][0]))
 
         def out():
             cols = list(zip(*found, strict=True)) if found else [(), ()]
@@ -382,6 +382,8 @@ class _Join:
         self.ws = Workspace(docs.sparkSession, "ngram")
         self.docs = docs.select(key_of("doc_id").alias("doc_id"), text_of("text").alias("text"))
         self.words, self.num, self.den = words, num, den
+        #: groups with pairs that no round has given yet; None before the first round: all.
+        self.unfinished: DataFrame | None = None
 
     def sign(self) -> None:
         size = self.docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -434,8 +436,12 @@ class _Join:
         """Pairs left to try: near by sketch, in one group, in different components; whether others are left.
 
         Members of a group's largest component are met by the others only, not by one another.
+        Groups that had nothing left in the round before are done: all their pairs were given,
+        or left to lesser groups, which give them or are unfinished.
         """
         groups = self.matched.where("grp is not null").select("grp", "part", "members").dropDuplicates(["grp", "part"])
+        if self.unfinished is not None:
+            groups = groups.join(self.unfinished, "grp", "left_semi")
         rows = groups.select("grp", F.explode("members").alias("node"))
         rows = self.ws.save(rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), f"grouped_{label}")
         by_root = rows.groupBy("grp", "root").agg(F.count("*").alias("n"))
@@ -455,7 +461,8 @@ class _Join:
         found = rows.mapInArrow(_residual(self.num, self.den, nearest), "a long, b long").distinct()
         found = self.ws.save(found.join(tried, ["a", "b"], "left_anti"), f"residual_{label}")
         self.ws.drop(f"grouped_{label}", f"mixed_{label}")
-        return found.where("a is not null"), not found.where("a is null").isEmpty()
+        self.unfinished = found.where("a is null").select(F.col("b").alias("grp"))
+        return found.where("a is not null"), not self.unfinished.isEmpty()
 
 
 def ngram_join(docs: DataFrame, *, words: int = WORDS, num: int = NUM, den: int = DEN) -> DataFrame:
