@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, Workspace, bucket_count, key_of, table, text_of
+from .common import NULL_ID, Workspace, bucket_count, few_rows, key_of, table, text_of
 from .graph import connected_components
 
 #: Words of a shingle; the similarity as a fraction.
@@ -416,13 +416,15 @@ class _Join:
 
     def links(self, pairs: DataFrame, label: str) -> DataFrame:
         """Of distinct ``pairs(a, b)`` those whose sets are similar enough."""
-        side = lambda s: self.nodes.select(*[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "sketch")], F.col("node").alias(s))
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        known = self.nodes.join(F.broadcast(ends), "node", "left_semi") if few_rows(ends, BROADCAST_ROWS) else self.nodes
+        side = lambda s: known.select(*[F.col(c).alias(f"{c}_{s}") for c in ("rep", "n", "sketch")], F.col("node").alias(s))
         near = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "rep_a", "rep_b", "n_a", "n_b", "sketch_a", "sketch_b")
         near = self.ws.save(near.mapInArrow(_near(self.num, self.den), "a long, b long, rep_a long, rep_b long"), f"near_{label}")
         wanted = near.select(F.col("a").alias("node"), F.col("rep_a").alias("doc_id")).union(near.select("b", "rep_b")).distinct()
         wanted = self.ws.save(wanted, f"wanted_{label}")
         reps = wanted.select("doc_id").distinct()
-        few = wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+        few = few_rows(wanted, BROADCAST_ROWS)
         texts = self.docs.join(F.broadcast(reps) if few else reps, "doc_id", "left_semi").select("text")
         sets = texts.mapInArrow(_sets(self.words), "node long, items binary").dropDuplicates(["node"])
         sets = self.ws.save(sets.join(F.broadcast(wanted) if few else wanted, "node", "left_semi"), f"sets_{label}")
