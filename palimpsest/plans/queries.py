@@ -74,10 +74,15 @@ def classify_documents(spark, d):
 
 
 def alias_chains(spark, d):
-    """Owners at the end of chains of up to four hops."""
+    """Owners at the end of chains of up to four hops, counted below zero towards a later key.
+
+    Every fifth key from 1 on, both ways, is an owner.  Keys above 1 lead to the key before, keys
+    below 1 to the key after: the remainder keeps the sign of what it divides, as in the SQL.
+    """
     k = F.col("p_partkey")
-    e = _read(spark, d, "part").select(k.cast("string").alias("name"), F.when(k % 5 != 1, (k - 1).cast("string")).alias("alias_of"))
-    return versions.alias_owners(e)
+    e = _read(spark, d, "part").select(k.cast("string").alias("name"), F.when((k - 1) % 5 != 0, F.when(k > 1, k - 1).otherwise(k + 1).cast("string")).alias("alias_of"))
+    later = F.col("owner").cast("long") > F.col("name").cast("long")
+    return versions.alias_owners(e).withColumn("hops", F.when(later, -F.col("hops")).otherwise(F.col("hops")))
 
 
 def rank_totals(spark, d):
