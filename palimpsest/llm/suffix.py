@@ -40,6 +40,8 @@ CHUNK_BITS = 18
 CHUNK = 1 << CHUNK_BITS
 #: Anchor records a task holds before it hands them on; records in a bucket; contexts in a sorted bucket.
 FLUSH, BUCKET, SORTED = 300_000, 250_000, 10_000
+#: Records of a packed row that is compared with none and so goes to any bucket.
+PASSED = 8192
 #: Contexts of one anchor, in a task's flush and in a bucket, beyond which strings are dealt by their own hash.
 LOCAL_HOT, HOT = 256, 20_000
 #: Documents that are told to all tasks at most; more are joined by a shuffle.
@@ -149,37 +151,46 @@ SCANNED = "kind int, bucket int, a binary, c binary, k binary, s binary, l binar
 
 
 def _scan(length: int, n_buckets: int):
-    """Anchor records by bucket (kind 0), repeats seen within the task (1), runs of locally hot anchors (2)."""
+    """Anchor records by bucket (kind 0), repeats seen within the task (1), runs of locally hot anchors (2).
+
+    Only kind 0 is compared again, so only it goes by its anchor; ``n_buckets`` is a power of two.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         total = 0
 
-        def packed(kind: int, r: dict, bucket: np.ndarray):
-            if not len(bucket):
-                return
+        def row(kind: int, r: dict, at, bucket) -> tuple:
+            return (kind, int(bucket), *(np.ascontiguousarray(r[x][at], t).tobytes() for x, t in _PACK))
+
+        def packed(r: dict):
+            # the low bits: as the least hash of its window, an anchor's high bits are mostly 0
+            bucket = (r["a"] & _U(n_buckets - 1)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            edge = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0))
+            edge = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)[: len(order)])
             for lo, hi in zip(edge, [*edge[1:], len(order)], strict=True):
-                at = order[lo:hi]
-                yield (kind, int(bucket[at[0]]), *(np.ascontiguousarray(r[x][at], t).tobytes() for x, t in _PACK))
+                yield row(0, r, order[lo:hi], bucket[order[lo]])
+
+        def passed(kind: int, r: dict):
+            for i in range(0, len(r["a"]), PASSED):
+                spot = mix64(r["k"][i : i + 1].astype(_U) * _U(_M) + r["s"][i : i + 1])[0]
+                yield row(kind, r, slice(i, i + PASSED), spot & _U(n_buckets - 1))
 
         def flush():
             r = {x: np.concatenate([h[x] for h in held]).astype(t) for x, t in _PACK}
             keep, later = _later_copies(r)
-            bucket = (r["a"] >> _U(64 - n_buckets.bit_length() + 1)).astype(np.int32) if n_buckets > 1 else np.zeros(len(keep), np.int32)
             sub = lambda m: {x: v[m] for x, v in r.items()}
-            rows = list(packed(1, sub(later), bucket[later]))
-            r, bucket = sub(keep), bucket[keep]
+            rows = list(passed(1, sub(later)))
+            r = sub(keep)
             hot = _context_counts(r["a"]) >= LOCAL_HOT
             if hot.any():
-                rows += packed(2, sub(hot), bucket[hot])
+                rows += passed(2, sub(hot))
                 one = np.unique(r["a"][hot], return_index=True)[1]
                 r["n"] = r["n"] | np.where(hot, np.uint8(128), np.uint8(0))  # tells the bucket
                 send = ~hot
                 send[np.flatnonzero(hot)[one]] = True
-                r, bucket = sub(send), bucket[send]
-            rows += packed(0, r, bucket)
+                r = sub(send)
+            rows += packed(r)
             for i in range(0, len(rows), 256):
                 part = rows[i : i + 256]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part, strict=True), _SCAN, strict=True)], schema=_SCAN)

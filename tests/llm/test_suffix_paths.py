@@ -113,3 +113,29 @@ def test_texts_over_several_chunks():
     t = bytes(r.choices(b"abcdefgh", k=suffix.CHUNK + 5000))
     docs = [(1, t), (2, t[suffix.CHUNK - 300 : suffix.CHUNK + 300]), (3, t[-700:] + t[:400])]
     assert agrees(docs, n_buckets=4) and agrees(docs, n_buckets=4, tasks=3)
+
+
+def scanned_records(docs, n_buckets):
+    """Records of each kind by bucket."""
+    out = {}
+    for part in suffix._scan(100, n_buckets)(batches(docs, 100)):
+        for x in part.to_pylist():
+            out.setdefault(x["kind"], []).append((x["bucket"], len(x["n"])))
+    return {kind: np.bincount([b for b, _ in v], weights=[n for _, n in v], minlength=n_buckets) for kind, v in out.items()}
+
+
+def test_least_hashes_fill_all_buckets():
+    r = random.Random(6)
+    by = scanned_records([(i, r.randbytes(1000)) for i in range(2000)], 32)[0]
+    assert by.max() < 1.5 * by.mean()
+
+
+def test_records_of_one_anchor_that_are_not_compared_fill_all_buckets(monkeypatch):
+    monkeypatch.setattr(suffix, "PASSED", 64, raising=False)
+    r = random.Random(7)
+    common = r.randbytes(90)
+    docs = [(i, r.randbytes(90) + common + r.randbytes(90)) for i in range(3000)]
+    docs += [(3000 + i, b"same" * 30) for i in range(3000)]
+    by = scanned_records(docs, 8)
+    assert all(by[kind].max() < 0.5 * by[kind].sum() for kind in (1, 2))
+    assert agrees(docs[:500] + docs[-500:], n_buckets=8, n_sorted=4, tasks=2, batch=100)
